@@ -44,6 +44,11 @@ def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """64 bits that stand for a row: its id and its text, either of which may be null.
 

@@ -128,7 +128,7 @@ def line_index(lines: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, shard_lines: int = SHARD_LINES, slice_probes: int = SLICE_PROBES) -> DataFrame:
-    """rk and pos of each line that another place has first.
+    """rk and pos of each line that another place has first, and whether another row has it (other).
 
     Line hashes, 8 bytes for a line, travel to the shard of the index that has them and
     probe its arrays; the lines themselves stay where they are.  A shard's probes are cut into
@@ -145,15 +145,15 @@ def repeated_lines(docs: DataFrame, shard_lines: int = SHARD_LINES, slice_probes
     def probe(probes: pa.Table, index: pa.Table) -> pa.Table:
         rk, pos, h = (probes.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("rk", "pos", "h"))
         if not len(rk):
-            return pa.table({"rk": pa.array([], pa.int64()), "pos": pa.array([], pa.int32())})
+            return pa.table({"rk": pa.array([], pa.int64()), "pos": pa.array([], pa.int32()), "other": pa.array([], pa.bool_())})
         found = LineIndex.load([index.column(c)[0].as_py() for c in ("sizes", "bits", "marks", "counts", "owners")])
         counts, owners = found.probe(h.view(np.uint64))
         many = np.flatnonzero(counts > 1)
         many = many[np.lexsort((pos[many], rk[many], h[many]))]
         drop = many[(owners[many] != rk[many]) | _later(h[many], rk[many], pos[many])]  # the owner too has a line once
-        return pa.table({"rk": pa.array(rk[drop]), "pos": pa.array(pos[drop], pa.int32())})
+        return pa.table({"rk": pa.array(rk[drop]), "pos": pa.array(pos[drop], pa.int32()), "other": pa.array(owners[drop] != rk[drop])})
 
-    return probes.groupBy("shard", "slice").cogroup(index.groupBy("shard", "slice")).applyInArrow(probe, "rk long, pos int")
+    return probes.groupBy("shard", "slice").cogroup(index.groupBy("shard", "slice")).applyInArrow(probe, "rk long, pos int, other boolean")
 
 
 def _later(h: np.ndarray, rk: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -173,14 +173,14 @@ def dedup_lines(docs: DataFrame, max_lost: float = 1.0, shard_lines: int = SHARD
     row of the lowest doc_id (null last; then of the lowest row key), at the first such line.  Lines of white
     space are never removed.  A row that loses a line has its text joined again without it, and
     n_chars, if docs has it, set to the new length.  Rows are never removed: one that loses
-    all its lines has an empty text.  A row that would lose more than the share `max_lost` of its lines
-    (those with more than white space) is a copy of other rows rather than a text with some
+    all its lines has an empty text.  With max_lost below 1, a row that would lose more than that share of its
+    lines (those with more than white space) to other rows is a copy of them rather than a text with some
     repeated lines; it is left whole, for document dedup to decide.
 
     A null text stays null.  Rows that repeat id and text count as one row and stay alike.
     """
     spark = docs.sparkSession
-    gone = repeated_lines(docs, shard_lines, slice_probes).distinct().groupBy(F.col("rk").alias("__tm_rk")).agg(F.collect_list("pos").alias("__tm_gone"))
+    gone = repeated_lines(docs, shard_lines, slice_probes).distinct().groupBy(F.col("rk").alias("__tm_rk")).agg(F.collect_list("pos").alias("__tm_gone"), F.count_if("other").alias("__tm_other"))
     gone = common.cut(spark, gone)
     keyed = docs.withColumn("__tm_rk", common.row_key()).join(common.maybe_broadcast(gone, broadcast_rows), "__tm_rk", "left")
     lines = F.split("text", "\n")
@@ -189,10 +189,10 @@ def dedup_lines(docs: DataFrame, max_lost: float = 1.0, shard_lines: int = SHARD
     cut = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     lose = F.col("__tm_gone").isNotNull()
     if max_lost < 1:
-        lose = lose & (F.size("__tm_gone") <= F.lit(max_lost) * real)
-    out = keyed.withColumn("__tm_cut", lose)
-    new = {"text": F.when(F.col("__tm_cut"), cut).otherwise(F.col("text"))}
+        lose = lose & (F.col("__tm_other") <= F.lit(max_lost) * real)
+    out = keyed.withColumn("__tm_new", F.when(lose, cut))
+    new = {"text": F.coalesce("__tm_new", "text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("__tm_cut"), F.length(cut).cast(kind)).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(F.col("__tm_new").isNotNull(), F.length("__tm_new").cast(kind)).otherwise(F.col("n_chars"))
+    return out.select(*(new[c].alias(c) if c in new else common.quoted(c) for c in docs.columns))

@@ -22,7 +22,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None
     the shard is start // target, where target is target_bytes or else the total over `shards`,
     rounded up.  So shards are contiguous, and a shard exceeds the target by less than its last row.
 
-    A null text has 0 bytes; rows of 0 bytes go where the next row starts.  A null doc_id sorts last.
+    A null text has 0 bytes; rows of 0 bytes go where the next row starts, or to the last shard after all others.  A null doc_id sorts last.
     Rows that repeat id and size are interchangeable.  Only ids and sizes are moved; other columns
     are not looked at.
     """
@@ -37,6 +37,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None
         first[part] = at
         at += size
     target = target_bytes or max(1, -(-at // shards))
+    last = max(at - 1, 0) // target
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = None
@@ -49,6 +50,6 @@ def shard(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None
             end = here + np.cumsum(size)
             start = end - size
             here = int(end[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(start, pa.int64()), pa.array(start // target, pa.int64())], names=["doc_id", "n_bytes", "start", "shard"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(start, pa.int64()), pa.array(np.minimum(start // target, last), pa.int64())], names=["doc_id", "n_bytes", "start", "shard"])
 
     return ranged.mapInArrow(run, "doc_id long, n_bytes long, start long, shard long")

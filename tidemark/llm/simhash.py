@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -307,8 +307,5 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: in
         repeated = common.maybe_broadcast(repeated, broadcast_rows)
         one = kept.join(repeated, "__tm_rk", "left_semi").dropDuplicates(["__tm_rk"])
         kept = kept.join(repeated, "__tm_rk", "left_anti").unionByName(one)
-    return kept.select(*[_quoted(c) for c in docs.columns])
+    return kept.select(*[common.quoted(c) for c in docs.columns])
 
-
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
