@@ -8,38 +8,60 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import common
+
 SAMPLE = 20_000
 TREES = 24
 DEPTH = 3
 BINS = 32
 PENALTY = 0.003
 THRESHOLD = 0.5
+_PREFIX = "__tm_"
+
+
+NAMES = ("chars", "word_length", "distinct_words", "distinct_words_log", "upper", "digits", "signs", "bars", "shouts", "stops", "lines")
+
 
+def with_statistics(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """docs with the statistics that rules look at; null and empty texts have zeros.
 
-def statistics(text: str = "text") -> dict[str, Column]:
-    """The statistics that rules look at, as columns over a text; null and empty texts have zeros."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1))
-    words = F.filter(F.split(t, r"[ \n\t\r]+"), lambda w: w != "")
-    count = F.greatest(F.size(words), F.lit(1))
-
-    def share(kept: str) -> Column:
-        """The share of signs that are among those of `kept`."""
-        return F.length(F.regexp_replace(t, f"[^{kept}]+", "")) / n
-
-    return {
-        "chars": F.log1p(F.length(t).cast("double")),
-        "word_length": (F.length(t) - F.size(words) + 1) / count,
-        "distinct_words": F.size(F.array_distinct(words)) / count,
-        "distinct_words_log": F.log1p(F.size(F.array_distinct(words)).cast("double")) / F.log1p(count.cast("double")),
-        "upper": share(r"\p{Lu}"),
-        "digits": share(r"\p{N}"),
-        "signs": share(r"#$%&*+<>=@^~_{}\[\]\\"),
-        "bars": share(r"|"),
-        "shouts": share(r"!?"),
-        "stops": share(r".,;:"),
-        "lines": share(r"\n"),
+    Words and counts pass through generators.  A projection would be merged with the rules and filters
+    over it, and each of their mentions of a count would read the text again.
+    """
+    t = F.coalesce(F.col("text"), F.lit(""))
+
+    def kept(signs: str) -> Column:
+        """The number of signs that are among those of `signs`."""
+        return F.length(F.regexp_replace(t, f"[^{signs}]+", ""))
+
+    def times(sign: str) -> Column:
+        return F.length(t) - F.length(F.replace(t, F.lit(sign), F.lit("")))
+
+    counts = {
+        "n": F.length(t),
+        "words": F.size("__tm_words"),
+        "distinct": F.size(F.array_distinct("__tm_words")),
+        "upper": kept(r"\p{Lu}"),
+        "digits": kept(r"\p{N}"),
+        "signs": kept(r"#$%&*+<>=@^~_{}\[\]\\"),
+        "bars": times("|"),
+        "shouts": times("!") + times("?"),
+        "stops": kept(".,;:"),
+        "lines": times("\n"),
+    }
+    split = F.array_remove(F.split(t, r"[ \n\t\r]+"), "")
+    rows = docs.select("*", F.inline(F.array(F.struct(split.alias("__tm_words")))))
+    rows = rows.select("*", F.inline(F.array(F.struct(*[c.alias(f"__tm_n_{k}") for k, c in counts.items()]))))
+    of = {k: F.col(f"__tm_n_{k}").cast("double") for k in counts}
+    n, words = F.greatest(of["n"], F.lit(1.0)), F.greatest(of["words"], F.lit(1.0))
+    found = {
+        "chars": F.log1p(of["n"]),
+        "word_length": (of["n"] - of["words"] + 1) / words,
+        "distinct_words": of["distinct"] / words,
+        "distinct_words_log": F.log1p(of["distinct"]) / F.log1p(words),
+        **{k: of[k] / n for k in NAMES[4:]},
     }
+    return rows.select(*map(common.quoted, docs.columns), *[found[k].alias(prefix + k) for k in NAMES])
 
 
 @dataclass(frozen=True)
@@ -126,16 +148,26 @@ def grow(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES, dep
 
 
 def lasso(z: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int = 800) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise the mean logistic loss and `penalty` times the weights' sizes, by accelerated proximal steps."""
+    """Weights and intercept that minimise the mean logistic loss and `penalty` times the weights' sizes, by accelerated proximal steps.
+
+    Rows of z that are alike, as most are where it says which rules hold, are summed up first.
+    """
     n, m = z.shape
-    z = np.hstack([z, np.ones((n, 1))])
-    rate = 4 * n / max(1.0, np.linalg.norm(z, 2) ** 2)
+    _, first, of = np.unique(z, axis=0, return_index=True, return_inverse=True)
+    times = np.bincount(of.ravel(), minlength=len(first)).astype(float)
+    good = np.bincount(of.ravel(), weights=y, minlength=len(first))
+    z = np.hstack([z[first], np.ones((len(first), 1))])
+    v = np.ones(m + 1)
+    for _ in range(50):  # the largest eigenvalue of z'z by powers
+        v = z.T @ (times * (z @ v))
+        v /= np.linalg.norm(v)
+    rate = 4 * n / max(1.0, 1.1 * float(np.linalg.norm(z.T @ (times * (z @ v)))))
     w = v = np.zeros(m + 1)
     t = 1.0
     bound = np.append(np.full(m, penalty * rate), 0.0)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ v, -30, 30)))
-        new = v - rate * (z.T @ (p - y)) / n
+        new = v - rate * (z.T @ (times * p - good)) / n
         new = np.sign(new) * np.maximum(np.abs(new) - bound, 0)
         u = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v = new + (t - 1) / u * (new - w)
@@ -172,11 +204,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("quality").cast("int").alias("y")).where("i is not null and y is not null")
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("i"), "i", "y").limit(sample))  # the documented bound
-    of = statistics()
     rows = docs.select(F.col("doc_id").cast("long").alias("i"), "text").where("text is not null").join(chosen, "i")
-    found = rows.select("i", "y", *[c.cast("double").alias(n) for n, c in of.items()]).toPandas()
+    found = with_statistics(rows).select("i", "y", *NAMES).toPandas()
     found = found.sort_values(list(found.columns), kind="stable")
-    return fit(found[list(of)].to_numpy(float), (found["y"].to_numpy() > 0).astype(int), list(of), penalty)
+    return fit(found[list(NAMES)].to_numpy(float), (found["y"].to_numpy() > 0).astype(int), list(NAMES), penalty)
+
+
+def judged(docs: DataFrame, model: Ensemble, threshold: float) -> DataFrame:
+    """docs with __tm_score and __tm_keep."""
+    of = {name: F.col(_PREFIX + name) for name in NAMES}
+    value = model.score(of)
+    if model.rules:
+        value = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(0.0)).otherwise(value)
+    rows = with_statistics(docs, _PREFIX).withColumn("__tm_score", value)
+    return rows.withColumn("__tm_keep", F.col("__tm_score") >= threshold)
 
 
 def score(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD) -> DataFrame:
@@ -185,17 +226,10 @@ def score(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD) -> Dat
     Null and empty texts have score 0 and are not kept, unless the model has no rules and keeps all.  Repeated
     rows score alike; null ids are kept.  Columns besides doc_id and text are not looked at.
     """
-    value, keep = _judged(docs, model, threshold)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), value.alias("score"), keep.alias("keep"))
-
-
-def _judged(docs: DataFrame, model: Ensemble, threshold: float) -> tuple[Column, Column]:
-    value = model.score(statistics())
-    if model.rules:
-        value = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(0.0)).otherwise(value)
-    return value, value >= threshold
+    rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, threshold)
+    return rows.select("doc_id", F.col("__tm_score").alias("score"), F.col("__tm_keep").alias("keep"))
 
 
 def keep_good(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score keeps, with the columns of docs."""
-    return docs.where(_judged(docs, model, threshold)[1])
+    return judged(docs, model, threshold).where("__tm_keep").select(*map(common.quoted, docs.columns))
