@@ -9,7 +9,6 @@ from tidemark.llm import common
 
 DAMPING = 0.85
 ROUNDS = 12
-CUT_EVERY = 4
 LEAST_TRUST = 0.0
 MOST_DISTRUST = 1e-3
 
@@ -41,26 +40,24 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host and score: personalised PageRank after `rounds` steps from the seeds (host).
+    """walk, host and score: personalised PageRank after `rounds` steps from the seeds (walk, host), for several walks at once.
 
-    Each step sends `damping` of a host's score along its links by weight and the rest, as well as what
-    hosts without links hold, back to the seeds in equal parts.  Without seeds there are no scores.
+    Edges have walk, src, dst and weight.  Each step sends `damping` of a host's score along its links by weight and the
+    rest, as well as what hosts without links hold, back to the walk's seeds in equal parts.  A walk without seeds has no scores.
+    Each step is checkpointed, so its plan is that of one step and a lost executor costs no more than one.
     """
     spark = edges.sparkSession
-    total = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    steps = common.cut(spark, edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    seeds = seeds.select("host").where("host is not null").distinct()
-    n = seeds.count()
-    start = common.cut(spark, seeds.select("host", F.lit(1.0 / max(n, 1)).alias("start")))
-    score = start.select("host", F.col("start").alias("score"))
-    for i in range(rounds):
-        sent = score.join(steps, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        moved = sent.groupBy("host").agg(F.sum("score").alias("score"))
-        kept = moved.agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("kept"))
-        back = start.crossJoin(kept).select("host", (F.col("start") * (1 - F.col("kept"))).alias("score"))  # kept is one row
-        score = moved.unionByName(back).groupBy("host").agg(F.sum("score").alias("score"))
-        if i % CUT_EVERY == CUT_EVERY - 1 or i == rounds - 1:
-            score = common.cut(spark, score)
+    total = edges.groupBy("walk", "src").agg(F.sum("weight").alias("out"))
+    steps = common.cut(spark, edges.join(total, ["walk", "src"]).select("walk", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out") * damping).alias("share")))
+    seeds = seeds.select("walk", "host").where("host is not null").distinct()
+    number = seeds.groupBy("walk").agg((1.0 / F.count("*")).alias("begun"))
+    start = common.cut(spark, seeds.join(F.broadcast(number), "walk").select("walk", "host", "begun"))  # a row for each walk
+    score = start.select("walk", "host", F.col("begun").alias("score"))
+    for _ in range(rounds):
+        moved = score.join(steps, ["walk", "host"]).groupBy("walk", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("score"))
+        kept = F.broadcast(moved.groupBy("walk").agg(F.sum("score").alias("kept")))  # a row for each walk
+        back = start.join(kept, "walk", "left").select("walk", "host", (F.col("begun") * (1 - F.coalesce("kept", F.lit(0.0)))).alias("score"))
+        score = common.cut(spark, moved.unionByName(back).groupBy("walk", "host").agg(F.sum("score").alias("score")))
     return score
 
 
@@ -72,13 +69,14 @@ def host_scores(pages: DataFrame, trusted: list[str], blocked: list[str], dampin
     """
     spark = pages.sparkSession
     edges = common.cut(spark, host_edges(pages))
-    given = lambda hosts: spark.createDataFrame([(h.lower(),) for h in hosts], "host string")
-    trust = propagate(edges, given(trusted), damping, rounds)
-    reverse = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(reverse, given(blocked), damping, rounds)
-    hosts = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).unionByName(trust.select("host")).unionByName(distrust.select("host")).distinct()
-    out = hosts.join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left")
-    return out.select("host", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")))
+    forward = edges.select(F.lit("trust").alias("walk"), "src", "dst", "weight")
+    against = edges.select(F.lit("distrust").alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    seeds = spark.createDataFrame([(w, h.lower()) for w, hosts in (("trust", trusted), ("distrust", blocked)) for h in hosts], "walk string, host string")
+    scores = propagate(forward.unionByName(against), seeds, damping, rounds)
+    none = F.lit(0.0)
+    bare = edges.select(F.explode(F.array("src", "dst")).alias("host")).select(F.lit("").alias("walk"), "host", none.alias("score"))
+    of = lambda walk: F.sum(F.when(F.col("walk") == walk, F.col("score")).otherwise(none)).alias(walk)
+    return scores.unionByName(bare).groupBy("host").agg(of("trust"), of("distrust"))
 
 
 def filter_urls(pages: DataFrame, trusted: list[str], blocked: list[str], least_trust: float = LEAST_TRUST, most_distrust: float = MOST_DISTRUST, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
