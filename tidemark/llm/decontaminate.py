@@ -129,6 +129,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, windo
 
     Rows with null or empty text stay, as do repeated rows without such a run.
     """
-    bad = common.cut(docs.sparkSession, _spans(docs, benchmark, gram, window, broadcast_rows).select(F.col("rk").alias("__tm_rk")).distinct())
-    kept = docs.withColumn("__tm_rk", common.row_key()).join(common.maybe_broadcast(bad, broadcast_rows), "__tm_rk", "left_anti")
-    return kept.drop("__tm_rk")
+    rk = common.fresh(docs, "__tm_rk")
+    bad = common.cut(docs.sparkSession, _spans(docs, benchmark, gram, window, broadcast_rows).select(F.col("rk").alias(rk)).distinct())
+    return docs.withColumn(rk, common.row_key()).join(common.maybe_broadcast(bad, broadcast_rows), rk, "left_anti").drop(rk)

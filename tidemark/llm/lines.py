@@ -180,19 +180,20 @@ def dedup_lines(docs: DataFrame, max_lost: float = 1.0, shard_lines: int = SHARD
     A null text stays null.  Rows that repeat id and text count as one row and stay alike.
     """
     spark = docs.sparkSession
-    gone = repeated_lines(docs, shard_lines, slice_probes).distinct().groupBy(F.col("rk").alias("__tm_rk")).agg(F.collect_list("pos").alias("__tm_gone"), F.count_if("other").alias("__tm_other"))
+    rk, places, others, fresh = (common.fresh(docs, f"__tm_{c}") for c in ("rk", "gone", "other", "new"))
+    gone = repeated_lines(docs, shard_lines, slice_probes).distinct().groupBy(F.col("rk").alias(rk)).agg(F.collect_list("pos").alias(places), F.count_if("other").alias(others))
     gone = common.cut(spark, gone)
-    keyed = docs.withColumn("__tm_rk", common.row_key()).join(common.maybe_broadcast(gone, broadcast_rows), "__tm_rk", "left")
+    keyed = docs.withColumn(rk, common.row_key()).join(common.maybe_broadcast(gone, broadcast_rows), rk, "left")
     lines = F.split("text", "\n")
-    real = F.size(F.filter(lines, lambda x: x.rlike(r"\S")))
-    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__tm_gone"))
+    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places))
     cut = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    lose = F.col("__tm_gone").isNotNull()
+    lose = F.col(places).isNotNull()
     if max_lost < 1:
-        lose = lose & (F.col("__tm_other") <= F.lit(max_lost) * real)
-    out = keyed.withColumn("__tm_new", F.when(lose, cut))
-    new = {"text": F.coalesce("__tm_new", "text")}
+        real = F.size(F.filter(lines, lambda x: x.rlike(r"\S")))
+        lose = lose & (F.col(others) <= F.lit(max_lost) * real)
+    out = keyed.withColumn(fresh, F.when(lose, cut))
+    new = {"text": F.coalesce(fresh, "text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("__tm_new").isNotNull(), F.length("__tm_new").cast(kind)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(F.col(fresh).isNotNull(), F.length(fresh).cast(kind)).otherwise(F.col("n_chars"))
     return out.select(*(new[c].alias(c) if c in new else common.quoted(c) for c in docs.columns))

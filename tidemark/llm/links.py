@@ -85,11 +85,14 @@ def filter_urls(pages: DataFrame, trusted: list[str], blocked: list[str], least_
     A page is kept if its host has at least `least_trust` and less than `most_distrust`, or more trust than
     distrust.  Of two hosts without any score neither is dropped.
 
-    A URL without a host, a null or an empty one has null host and scores, and keep is false.  Null html has no links.
+    A URL without a host, a null or an empty one has null host and scores, and keep is false.  Null html has no links; a host
+    without any has scores of 0.
     Repeated rows count each, and null page_ids are kept.  Columns besides page_id, url and html are not looked at.
     """
     scores = host_scores(pages, trusted, blocked, damping, rounds)
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"))
-    fine = (F.col("trust") >= least_trust) & ((F.col("distrust") < most_distrust) | (F.col("trust") > F.col("distrust")))
     out = rows.join(common.maybe_broadcast(scores, 500_000), "host", "left")
-    return out.select("page_id", "host", "trust", "distrust", F.coalesce(fine, F.lit(False)).alias("keep"))
+    of = {c: F.when(F.col("host").isNotNull(), F.coalesce(c, F.lit(0.0))) for c in ("trust", "distrust")}
+    out = out.select("page_id", "host", *[x.alias(c) for c, x in of.items()])
+    fine = (F.col("trust") >= least_trust) & ((F.col("distrust") < most_distrust) | (F.col("trust") > F.col("distrust")))
+    return out.withColumn("keep", F.coalesce(fine, F.lit(False)))

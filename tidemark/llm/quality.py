@@ -16,9 +16,7 @@ DEPTH = 3
 BINS = 32
 PENALTY = 0.003
 THRESHOLD = 0.5
-_PREFIX = "__tm_"
-
-
+_PREFIX = "__tidemark_quality_"
 NAMES = ("chars", "word_length", "distinct_words", "distinct_words_log", "upper", "digits", "signs", "bars", "shouts", "stops", "lines")
 
 
@@ -39,8 +37,8 @@ def with_statistics(docs: DataFrame, prefix: str = "") -> DataFrame:
 
     counts = {
         "n": F.length(t),
-        "words": F.size("__tm_words"),
-        "distinct": F.size(F.array_distinct("__tm_words")),
+        "words": F.size(_PREFIX + "words"),
+        "distinct": F.size(F.array_distinct(_PREFIX + "words")),
         "upper": kept(r"\p{Lu}"),
         "digits": kept(r"\p{N}"),
         "signs": kept(r"#$%&*+<>=@^~_{}\[\]\\"),
@@ -50,9 +48,9 @@ def with_statistics(docs: DataFrame, prefix: str = "") -> DataFrame:
         "lines": times("\n"),
     }
     split = F.array_remove(F.split(t, r"[ \n\t\r]+"), "")
-    rows = docs.select("*", F.inline(F.array(F.struct(split.alias("__tm_words")))))
-    rows = rows.select("*", F.inline(F.array(F.struct(*[c.alias(f"__tm_n_{k}") for k, c in counts.items()]))))
-    of = {k: F.col(f"__tm_n_{k}").cast("double") for k in counts}
+    rows = docs.select("*", F.inline(F.array(F.struct(split.alias(_PREFIX + "words")))))
+    rows = rows.select("*", F.inline(F.array(F.struct(*[c.alias(f"{_PREFIX}n_{k}") for k, c in counts.items()]))))
+    of = {k: F.col(f"{_PREFIX}n_{k}").cast("double") for k in counts}
     n, words = F.greatest(of["n"], F.lit(1.0)), F.greatest(of["words"], F.lit(1.0))
     found = {
         "chars": F.log1p(of["n"]),
@@ -211,13 +209,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
 
 
 def judged(docs: DataFrame, model: Ensemble, threshold: float) -> DataFrame:
-    """docs with __tm_score and __tm_keep."""
+    """docs with the columns score and keep, each name after _PREFIX."""
     of = {name: F.col(_PREFIX + name) for name in NAMES}
     value = model.score(of)
     if model.rules:
         value = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(0.0)).otherwise(value)
-    rows = with_statistics(docs, _PREFIX).withColumn("__tm_score", value)
-    return rows.withColumn("__tm_keep", F.col("__tm_score") >= threshold)
+    rows = with_statistics(docs, _PREFIX).withColumn(_PREFIX + "score", value)
+    return rows.withColumn(_PREFIX + "keep", F.col(_PREFIX + "score") >= threshold)
 
 
 def score(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD) -> DataFrame:
@@ -227,9 +225,9 @@ def score(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD) -> Dat
     rows score alike; null ids are kept.  Columns besides doc_id and text are not looked at.
     """
     rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, threshold)
-    return rows.select("doc_id", F.col("__tm_score").alias("score"), F.col("__tm_keep").alias("keep"))
+    return rows.select("doc_id", F.col(_PREFIX + "score").alias("score"), F.col(_PREFIX + "keep").alias("keep"))
 
 
 def keep_good(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score keeps, with the columns of docs."""
-    return judged(docs, model, threshold).where("__tm_keep").select(*map(common.quoted, docs.columns))
+    return judged(docs, model, threshold).where(_PREFIX + "keep").select(*map(common.quoted, docs.columns))

@@ -146,11 +146,10 @@ def _op3() -> str:
     ]
     t, b, n = "coalesce(t.score, 0)", "coalesce(b.score, 0)", links.ROUNDS
     return f"""
-WITH {", ".join(steps)},
-hosts AS (SELECT src AS host FROM edges UNION SELECT dst FROM edges UNION SELECT host FROM t_{n} UNION SELECT host FROM b_{n})
-SELECT p.page_id, p.host, CASE WHEN h.host IS NOT NULL THEN round({t}, 9) END AS trust, CASE WHEN h.host IS NOT NULL THEN round({b}, 9) END AS distrust,
-       coalesce(h.host IS NOT NULL AND {t} >= {links.LEAST_TRUST}e0 AND ({b} < {links.MOST_DISTRUST!r} OR {t} > {b}), false) AS keep
-FROM p LEFT JOIN hosts h ON p.host = h.host LEFT JOIN t_{n} t ON p.host = t.host LEFT JOIN b_{n} b ON p.host = b.host
+WITH {", ".join(steps)}
+SELECT p.page_id, p.host, CASE WHEN p.host IS NOT NULL THEN round({t}, 9) END AS trust, CASE WHEN p.host IS NOT NULL THEN round({b}, 9) END AS distrust,
+       p.host IS NOT NULL AND {t} >= {links.LEAST_TRUST}e0 AND ({b} < {links.MOST_DISTRUST!r} OR {t} > {b}) AS keep
+FROM p LEFT JOIN t_{n} t ON p.host = t.host LEFT JOIN b_{n} b ON p.host = b.host
 """
 
 

@@ -298,14 +298,14 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: int = S
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, broadcast_rows: int = 2_000_000) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with the columns of docs."""
     spark = docs.sparkSession
-    by_row = common.cut(spark, assignments(docs, distance, segments).groupBy(F.col("rk").alias("__tm_rk")).agg(F.max("keep").alias("k"), F.count("*").alias("n")))
-    keyed = docs.withColumn("__tm_rk", common.row_key())
-    gone = common.maybe_broadcast(by_row.where("not k").select("__tm_rk"), broadcast_rows)
-    kept = keyed.join(gone, "__tm_rk", "left_anti")
-    repeated = by_row.where("k and n > 1").select("__tm_rk")
+    rk = common.fresh(docs, "__tm_rk")
+    by_row = common.cut(spark, assignments(docs, distance, segments).groupBy(F.col("rk").alias(rk)).agg(F.max("keep").alias("k"), F.count("*").alias("n")))
+    keyed = docs.withColumn(rk, common.row_key())
+    gone = common.maybe_broadcast(by_row.where("not k").select(rk), broadcast_rows)
+    kept = keyed.join(gone, rk, "left_anti")
+    repeated = by_row.where("k and n > 1").select(rk)
     if not repeated.isEmpty():
         repeated = common.maybe_broadcast(repeated, broadcast_rows)
-        one = kept.join(repeated, "__tm_rk", "left_semi").dropDuplicates(["__tm_rk"])
-        kept = kept.join(repeated, "__tm_rk", "left_anti").unionByName(one)
-    return kept.select(*[common.quoted(c) for c in docs.columns])
-
+        one = kept.join(repeated, rk, "left_semi").dropDuplicates([rk])
+        kept = kept.join(repeated, rk, "left_anti").unionByName(one)
+    return kept.select(*map(common.quoted, docs.columns))
