@@ -220,7 +220,9 @@ def test_bulk_loads(store, spark):
 
 
 def test_files_beyond_a_range_are_not_read(store, spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     store.bulk_load(PAIRS, spark.range(4000).select(F.col("id").alias("k"), F.lit("x").alias("v")))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     r = store.begin_read().open_table("pairs")
     assert len(r.state.files) > 1
     assert len(r.range(included(5), included(6)).inputFiles()) < len(r.iter().inputFiles())
