@@ -1,6 +1,6 @@
 """BM25 ranking of texts, any of the query's words being enough.
 
-A search without an index reads the text column twice and shuffles a few sums only; with an index it
+A search without an index reads the text column once and shuffles a few sums only; with an index it
 reads the postings of the query's terms.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import query_tokens, tokens
 from tidemark.operators.reads import Key
+from tidemark.plans.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -58,11 +59,13 @@ def search(df: DataFrame, key: Key, text: Column, query: str, limit: int | None
     """
     words = query_tokens(query)
     terms = list(dict.fromkeys(words))
-    rows = df.select(*key, tokens(text).alias("__t"))
-    rows = rows.select(*key, F.size("__t").alias("__dl"), *[F.size(F.filter("__t", _is(w))).alias(f"__f{i}") for i, w in enumerate(terms)])
-    rows = rows.where("__dl > 0")
+    none = df.select(*key).where(F.lit(False)).withColumn("score", F.lit(0.0))
     if not terms:
-        return rows.where(F.lit(False)).select(*key, F.lit(0.0).alias("score"))
+        return none
+    # generators, so that no filter is merged with the tokens and splits a text again for each of its words
+    rows = df.select(*key, F.inline(F.array(F.struct(tokens(text).alias("__t")))))
+    counts = F.struct(F.size("__t").alias("__dl"), *[F.size(F.filter("__t", _is(w))).alias(f"__f{i}") for i, w in enumerate(terms)])
+    rows = cut(rows.select(*key, F.inline(F.array(counts))).where("__dl > 0"))  # a few numbers for each row, read twice
     stats = rows.agg(F.count("*").alias("__n"), F.sum("__dl").alias("__total"), *[F.count_if(F.col(f"__f{i}") > 0).alias(f"__d{i}") for i in range(len(terms))])
     some = reduce(lambda a, b: a | b, (F.col(f"__f{i}") > 0 for i in range(len(terms))))
     scored = rows.where(some).crossJoin(F.broadcast(stats))  # stats is one row
@@ -84,12 +87,13 @@ class TextIndex:
     @classmethod
     def build(cls, df: DataFrame, key: Key, text: Column, path: str | None = None) -> TextIndex:
         """The index of df, held in a Parquet table at `path` if that is given."""
-        postings = term_frequencies(df, key, text)
-        stats = doc_stats(df, key, text).agg(F.count("*").alias("n"), F.sum("dl").alias("total")).first()
+        postings = cut(term_frequencies(df, key, text))
+        total = postings.agg(F.sum("tf")).first()[0] or 0
+        n = postings.select(*key).distinct().count()
         if path:
             postings.repartitionByRange("term").sortWithinPartitions("term", *key).write.parquet(path)
             postings = df.sparkSession.read.parquet(path)
-        return cls(postings, key, stats.n, stats.total or 0)
+        return cls(postings, key, n, total)
 
     def search(self, query: str, limit: int | None = None, bm25: Bm25 = Bm25()) -> DataFrame:
         words = query_tokens(query)
