@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 DICTIONARY = 64 << 10
 SAMPLE = 400
+PIECE = 1000
 CHUNK = 4096
 LEVEL = 6
 MARGIN = 0.01
@@ -22,8 +23,8 @@ UNKNOWN = "und"
 def train(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
     """A raw-content dictionary of at most `size` bytes for each value of lang.
 
-    It holds the texts of at most `sample` rows of the language, those of the lowest hash of doc_id, in
-    lower case, whole while they fit; of a text that is longer than the room left, its end is left out.
+    The texts of at most `sample` rows of the language, those of the lowest hash of doc_id, are put in lower case and
+    parted into pieces of at most PIECE signs.  Pieces from all of them, in order of their hash, make up the dictionary while they fit.
     Rows without text or language are not used; no usable rows give no dictionaries.
     """
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -31,14 +32,19 @@ def train(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict
     chosen = usable.select("doc_id", "lang").where("doc_id is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("i"), F.col("lang").alias("l")))  # sample rows for each language
     texts = usable.join(chosen, (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l")), "left_semi")
-    texts = texts.select("lang", F.xxhash64("doc_id").alias("h"), F.lower(F.substring("text", 1, size)).alias("text"))
+    piece = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    pieces = texts.select("lang", "doc_id", piece.alias("piece")).select("lang", F.xxhash64("doc_id", "piece").alias("h"), "piece")
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
-        order = rows.sort_by([("h", "ascending"), ("text", "ascending")])
-        out = b"\n".join(x.as_py().encode() for x in order.column("text"))[:size]
-        return pa.table({"lang": pa.array([key[0].as_py()]), "d": pa.array([out], pa.binary())})
-
-    return {r.lang: bytes(r.d) for r in texts.groupBy("lang").applyInArrow(pack, "lang string, d binary").collect()}  # a row for each language
+        out, left = [], size
+        for x in rows.sort_by([("h", "ascending"), ("piece", "ascending")]).column("piece"):
+            raw = x.as_py().encode() + b"\n"
+            if len(raw) <= left:
+                out.append(raw)
+                left -= len(raw)
+        return pa.table({"lang": pa.array([key[0].as_py()]), "d": pa.array([b"".join(out)], pa.binary())})
+
+    return {r.lang: bytes(r.d) for r in pieces.groupBy("lang").applyInArrow(pack, "lang string, d binary").collect()}  # a row for each language
 
 
 class Compressors:
