@@ -166,7 +166,7 @@ def _later(h: np.ndarray, rk: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return pos > first
 
 
-def dedup_lines(docs: DataFrame, max_lost: float = 1.0, shard_lines: int = SHARD_LINES, slice_probes: int = SLICE_PROBES, broadcast_rows: int = 500_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_lost: float = 1.0, shard_lines: int = SHARD_LINES, slice_probes: int = SLICE_PROBES, broadcast_rows: int = 200_000) -> DataFrame:
     """docs with each line kept at its first place in the corpus only, with the columns of docs.
 
     Lines are what newlines part; the same are those whose bytes are.  The first place is in the
