@@ -311,6 +311,20 @@ def test_change_log_and_metrics(store):
     assert found[("store", "commits")] == 2 and found[("pairs", "deletes")] == 1
 
 
+def test_registered_tables_open_by_name(store):
+    with pytest.raises(E.TableNotFound):
+        store.begin_write().open_table("pairs")
+    store.register_table(PAIRS)
+    store.register_table(PAIRS)
+    with pytest.raises(E.TypeMismatch):
+        store.register_table(TableDef("pairs", "k bigint, v bigint", ("k",)))
+    with store.begin_write() as tx:
+        tx.open_table("pairs").put({"k": 1, "v": "a"})
+    with store.begin_write() as tx:
+        tx.open_table("pairs").delete(1)
+    assert [(r.version, r.op) for r in store.read_log().orderBy("version").collect()] == [(1, "put"), (2, "delete")] and store.live_writes() == 0
+
+
 def test_vector_collection(store, spark):
     c = VectorCollection(store, "v", 2)
     assert [c.upsert((1, 0), "a"), *c.bulk_insert([((0, 1), "b"), ((1, 0.5), None)])] == [1, 2, 3]

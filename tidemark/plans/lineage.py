@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; only where it is unset, as in tests, a temporary folder."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isDefined():
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="tidemark-"))

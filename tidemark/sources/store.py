@@ -71,6 +71,7 @@ class Store:
         self.table_counters: dict[tuple[str, str], int] = Counter()
         self.custom: dict[str, dict[str, CustomIndex]] = {}
         self.intents: dict[tuple, object] = {}
+        self.registered: dict[str, TableDef] = {}
         self.durable_hooks: list[Callable[[int], None]] = []
         self._refs: Counter = Counter()
         self._writer: object | None = None
@@ -136,8 +137,23 @@ class Store:
         with self.lock:
             self._refs[version] += by
 
+    def live_writes(self) -> int:
+        """The number of keys that live writers have claimed."""
+        return len(self.intents)
+
     # transactions
 
+    def register_table(self, d: TableDef) -> None:
+        """Let writers open a table by its name before it exists; another definition of a known one is an error."""
+        from tidemark.errors import TypeMismatch
+        from tidemark.sources.transactions import check_def
+
+        if self.registered.get(d.name, d) != d:
+            raise TypeMismatch(d.name)
+        if d.name in (known := self.manifest().tables):
+            check_def(d, known[d.name])
+        self.registered[d.name] = d
+
     def begin_read(self, version: int | None = None):
         from tidemark.sources.transactions import ReadTx
 
@@ -230,6 +246,14 @@ class Store:
                 out = out.unionByName(rows.select(F.lit(version).cast("long").alias("version"), F.lit(t).alias("table_name"), op.alias("op"), F.to_json(F.struct(*state.key)).alias("key"), row.alias("row")))
         return out
 
+    def read_log(self, after: int = 0) -> DataFrame:
+        """The change log of all retained versions beyond `after`."""
+        out = self.spark.createDataFrame([], "version long, table_name string, op string, key string, row string")
+        for v in self.versions():
+            if v > after:
+                out = out.unionByName(self.changes(v))
+        return out
+
     def changed_rows(self, version: int, table: str) -> DataFrame | None:
         """The rows that a version put into or deleted from a table (with __deleted), None if it wrote no rows of it."""
         m = self.manifest(version)

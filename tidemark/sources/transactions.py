@@ -435,7 +435,9 @@ class WriteTx:
         else:
             known = self.base.tables.get(name) if name not in self.removed else None
             if known is None and isinstance(table, str):
-                raise TableNotFound(name)
+                if name not in self.store.registered:
+                    raise TableNotFound(name)
+                table = self.store.registered[name]
             state = known.copy() if known else TableState.of(table)
             w = self.writers[name] = TableWriter(self, name, state, known is None)
         if not isinstance(table, str):
