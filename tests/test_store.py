@@ -1,3 +1,4 @@
+import gc
 import random
 import threading
 
@@ -92,6 +93,16 @@ def test_changes_check_keys_and_roll_back(store):
     assert store.begin_write().commit() == 2
 
 
+def test_a_dropped_writer_is_over(store):
+    tx = store.begin_write()
+    tx.open_table(PAIRS)
+    with pytest.raises(E.WriterBusy):
+        store.begin_write()
+    del tx
+    gc.collect()
+    store.begin_write().rollback()
+
+
 def test_tables_are_dropped_and_opened_once(store):
     put(store, (1, "a"))
     tx = store.begin_write()
@@ -312,8 +323,8 @@ def test_change_log_and_metrics(store):
 
 
 def test_registered_tables_open_by_name(store):
-    with pytest.raises(E.TableNotFound):
-        store.begin_write().open_table("pairs")
+    with store.begin_write() as tx, pytest.raises(E.TableNotFound):
+        tx.open_table("pairs")
     store.register_table(PAIRS)
     store.register_table(PAIRS)
     with pytest.raises(E.TypeMismatch):
@@ -322,7 +333,7 @@ def test_registered_tables_open_by_name(store):
         tx.open_table("pairs").put({"k": 1, "v": "a"})
     with store.begin_write() as tx:
         tx.open_table("pairs").delete(1)
-    assert [(r.version, r.op) for r in store.read_log().orderBy("version").collect()] == [(1, "put"), (2, "delete")] and store.live_writes() == 0
+    assert [(r.version, r.op) for r in store.read_log().orderBy("version").collect()] == [(2, "put"), (3, "delete")] and store.live_writes() == 0
 
 
 def test_vector_collection(store, spark):

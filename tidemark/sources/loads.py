@@ -77,7 +77,7 @@ class LoadBatch:
         if not self.staged:
             return self.base.version
         with self.store.lock:
-            if self.store._writer is not None and not self.store.config.multi_writer:
+            if self.store._writer() is not None and not self.store.config.multi_writer:
                 raise WriterBusy("a writer is live")
             tables = {**self.base.tables, **{n: s for n, (s, _) in self.staged.items()}}
             m = Manifest(self.base.version + 1, self.base.version, tables, installed=sorted(self.staged), tokens=dict(self.base.tokens))

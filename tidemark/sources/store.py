@@ -9,6 +9,7 @@ from __future__ import annotations
 import threading
 import time
 import uuid
+import weakref
 from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
@@ -74,7 +75,7 @@ class Store:
         self.registered: dict[str, TableDef] = {}
         self.durable_hooks: list[Callable[[int], None]] = []
         self._refs: Counter = Counter()
-        self._writer: object | None = None
+        self._writer: Callable[[], object | None] = lambda: None  # a weak reference: a writer that is dropped is over
         self._cached: dict[int, Manifest] = {}
 
     # versions
@@ -168,11 +169,11 @@ class Store:
                 raise ExplicitVersionRequired("begin_write needs a version")
             if version is not None and version <= base.version:
                 raise InvalidCommitVersion(f"{version} is not beyond {base.version}")
-            if not self.config.multi_writer and self._writer is not None:
+            if not self.config.multi_writer and self._writer() is not None:
                 raise WriterBusy("another writer is live")
             tx = WriteTx(self, base, version)
             if not self.config.multi_writer:
-                self._writer = tx
+                self._writer = weakref.ref(tx)
             return tx
 
     # data

@@ -463,11 +463,11 @@ class WriteTx:
         with self.store.lock:
             for k in keys:
                 held = self.store.intents.get((table, k))
-                if held is not None and held is not self:
+                if held is not None and held is not self.holder:
                     self.store.counters["conflicts"] += 1
-                    raise WriteConflict(f"{table}: key {k} has a live writer", table, holder=held.holder)
+                    raise WriteConflict(f"{table}: key {k} has a live writer", table, holder=held)
             for k in keys:
-                self.store.intents[(table, k)] = self
+                self.store.intents[(table, k)] = self.holder
                 self.claimed.add((table, k))
 
     def _end(self) -> None:
@@ -476,8 +476,8 @@ class WriteTx:
             with self.store.lock:
                 for k in self.claimed:
                     self.store.intents.pop(k, None)
-                if self.store._writer is self:
-                    self.store._writer = None
+                if self.store._writer() in (self, None):
+                    self.store._writer = lambda: None
             self.holder.end()
             self._pin.release()
 
