@@ -18,7 +18,8 @@ from tidemark.llm import kernels
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SLICE = 1 << 20
-CACHED = 400_000
+CACHED = 100_000
+PORTION = 20_000
 
 
 def read_vocabulary(path: str = VOCABULARY) -> bytes:
@@ -78,25 +79,26 @@ class Codec:
         ranked = sorted((int(r), base64.b64decode(p)) for p, r in lines)
         self.pieces = [p for _, p in ranked]
         self.rank = {p: r for r, p in ranked}
-        self.by_rank = dict(ranked)
         self.ids = np.array([0] + [r for r, _ in ranked], np.int32)  # from sentencepiece's numbers
-        self.table = np.array([self.by_rank.get(i, b"") for i in range(ranked[-1][0] + 1)], object)
+        self.table = np.full(ranked[-1][0] + 1, b"", object)
+        self.table[self.ids[1:]] = self.pieces
         self.length = np.fromiter(map(len, self.table), np.int64, len(self.table))
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.pieces))
         self.signs = str.maketrans({b: s for b, s in enumerate(byte_signs())})
-        self.kept: dict[str, tuple[int, ...]] = {}
-        self.sizes: dict[str, int] = {}
+        self.kept: dict[str, bytes] = {}
 
     def _encoded(self, tokens: list[str]) -> list[list[int]]:
         return self.model.encode([t.encode().decode("latin-1").translate(self.signs) for t in tokens], out_type=int, num_threads=1)
 
-    def encode(self, tokens: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each pre-token."""
+    def encode(self, tokens: list[str]) -> list[bytes]:
+        """The ids of each pre-token, as the bytes of 32-bit numbers.  Frequent ones are kept."""
         if len(self.kept) > CACHED:
             self.kept.clear()
         new = [t for t in tokens if t not in self.kept]
-        for t, found in zip(new, self._encoded(new) if new else ()):
-            self.kept[t] = tuple(self.ids[found].tolist())
+        for i in range(0, len(new), PORTION):
+            part = new[i : i + PORTION]
+            for t, found in zip(part, self._encoded(part)):
+                self.kept[t] = self.ids[found].tobytes()
         return [self.kept[t] for t in tokens]
 
     def count(self, tokens: list[str]) -> np.ndarray:
@@ -105,7 +107,10 @@ class Codec:
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes that ids stand for: each piece back from its rank, joined."""
-        return b"".join(map(self.by_rank.__getitem__, ids))
+        ids = list(ids)
+        if ids and min(ids) < 0:
+            raise IndexError("an id is negative")
+        return b"".join(map(self.table.__getitem__, ids))
 
 
 @functools.lru_cache(maxsize=2)
@@ -133,8 +138,8 @@ def encode_columns(text: pa.Array, packed: bytes) -> tuple[pa.Array, pa.Array, p
     for part in kernels.slices(text, SLICE):
         tokens, _, inverse, start = distinct_pretokens(part)
         each = bpe.encode(tokens)
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter((i for x in each for i in x), np.int32, int(size.sum()))
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), np.int32)
         taken = size[inverse]
         out = flat[kernels.ragged((np.cumsum(size) - size)[inverse], taken)]
         edges = np.zeros(len(inverse) + 1, np.int64)
@@ -190,6 +195,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", pr
                     mask = pa.array(absent)
                     lists, counts, same = (pa.compute.if_else(mask, pa.scalar(None, x.type), x) for x in (lists, counts, same))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, counts, same], names=[*kept, *new])
+                del part, column, lists, counts, same
+                pa.default_memory_pool().release_unused()  # else a worker holds on to its largest batches
 
     return docs.select(*kept).mapInArrow(run, schema)
 
