@@ -2,46 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans import lineage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see, from spark.checkpoint.dir.
-
-    Only where the setting is absent (tests, a laptop) a temporary one is made.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(found)
-        return found
-    current = sc._jsc.sc().getCheckpointDir()
-    if not current.isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        current = sc._jsc.sc().getCheckpointDir()
-    return current.get()
-
-
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_folder(spark)
-    return df.checkpoint(eager=True)
-
-
-def written(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again."""
-    path = f"{shared_folder(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return lineage.cut(df)
 
 
 def quoted(name: str) -> Column:
