@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, common, decontaminate, lines, quality, simhash
+from tidemark.plans.lineage import shared_folder
 
 #: A row that would lose more than this share of its lines to other rows is a copy: near-dedup sees it whole.
 MOST_LOST = 0.5
@@ -50,7 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of documents after all stages."""
     docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
