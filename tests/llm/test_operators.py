@@ -334,6 +334,32 @@ def test_links_match_dense_iteration(spark):
     assert links.filter_urls(df.limit(0), ["a.b"], []).count() == 0 and links.filter_urls(df, [], []).where("keep").count() == 7
 
 
+def test_linkers_of_blocked_hosts_go_whatever_the_size(spark):
+    pages = [(i, f"http://linker{i}.net/", '<a href="http://www.pills.com/">p</a>' + "<a href='/own'>o</a>" * (i % 3)) for i in range(400)]
+    pages += [(1000 + i, f"http://www{i % 3}.bad{i}.org/", None) for i in range(1500)]
+    pages += [(3000, "http://pills.com/", "x"), (3001, "http://second.net/", '<a href="http://linker7.net/">l</a>'), (3002, "http://clean.net/", '<a href="http://other.net/">o</a>'), (3003, "http://good.org/", '<a href="http://backed.net/">b</a>')]
+    pages += [(3004, "http://backed.net/", '<a href="http://pills.com/">p</a><a href="http://x.net">x</a>'), (3005, "http://pillsbury.com/", ""), (3006, None, ""), (3007, "http://rare.net/", '<a href="http://pills.com/">p</a>' + '<a href="http://x.net">x</a>' * 99)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in links.judge_urls(df, ["good"], ["pills", *[f"bad{i}.org" for i in range(1500)]]).collect()}
+    assert [i for i, r in got.items() if r.keep and i < 3000] == []
+    assert {i for i, r in got.items() if r.keep} == {3002, 3003, 3004, 3005, 3007}
+    near = lambda i, x: math.isclose(got[i].distrust, x, abs_tol=1e-6)
+    assert near(3000, 1) and near(0, 0.85) and near(2, 0.85) and near(3001, 0.85**2) and near(3004, 0.425) and near(3007, 0.0085) and near(3002, 0)
+    assert math.isclose(got[3004].trust, 0.85, abs_tol=1e-6) and got[3006].trust is None
+    old = {r.page_id for r in links.filter_urls(df.where("page_id < 1000 or page_id = 3000"), ["good.org"], ["pills.com"]).where("keep").collect()}
+    assert old  # what the absolute cut lets through
+
+
+def test_reach_goes_on_until_nothing_changes(spark):
+    ring = [(f"h{i}", f"h{i + 1}") for i in range(30)] + [("h1", "h0")]
+    edges = spark.createDataFrame([("w", a, b, 1.0) for a, b in ring], "walk string, src string, dst string, weight double")
+    got = {r.host: r.score for r in links.reach(edges, spark.createDataFrame([("w", "h30")], "walk string, host string")).collect()}
+    want = [0.0] * 30 + [1.0]
+    for _ in range(400):
+        want = [0.85 * want[1], 0.85 * (want[2] + want[0]) / 2, *[0.85 * want[i + 1] for i in range(2, 30)], 1.0]
+    assert len(got) == 31 and all(math.isclose(got[f"h{i}"], w, abs_tol=1e-5) for i, w in enumerate(want)) and got["h0"] > 0
+
+
 # --- quality --------------------------------------------------------------------------------------
 
 
