@@ -13,6 +13,10 @@ from tidemark.llm.common import table
 TRUSTED = ("tionsh.example.net", "blog.tionble.example.com", "www.ththes.example.net")
 BLOCKED = ("m.tiontion.example.com", "ththon.example.com", "m.ththin.example.org")
 
+#: Sites by name, under any prefix and ending: op3_url_lists.
+TRUSTED_SITES = ("tionsh", "tionble", "ththes")
+BLOCKED_SITES = ("casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x")
+
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -28,6 +32,11 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
+def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = links.judge_urls(table(spark, sf_dir, "pages"), list(TRUSTED_SITES), list(BLOCKED_SITES))
+    return out.withColumns({c: F.round(c, 4) for c in ("trust", "distrust")})
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,7 +68,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality, op2_bpe, op3_urls, op4_simhash, op5_token_counts, op6_language, op7_line_dedup, op8_decontamination, op9_shards, op10_fingerprints)
+    every = (op1_quality, op2_bpe, op3_urls, op3_url_lists, op4_simhash, op5_token_counts, op6_language, op7_line_dedup, op8_decontamination, op9_shards, op10_fingerprints)
     return {f.__name__: f for f in every}
 
 
@@ -153,6 +162,32 @@ FROM p LEFT JOIN t_{n} t ON p.host = t.host LEFT JOIN b_{n} b ON p.host = b.host
 """
 
 
+def _op3_lists() -> str:
+    """links.judge_urls with sites by name, by 150 steps of one recursion; 0.85 ** 150 is below 1e-10."""
+    link = links._LINK.replace("'", "''")
+    any_of = lambda names: f"regexp_matches('.' || host, '\\.({'|'.join(names)})\\.')"
+    return f"""
+WITH RECURSIVE p AS MATERIALIZED (SELECT page_id, {_host('url')} AS host, coalesce(html, '') AS html FROM pages),
+l AS (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM p WHERE host IS NOT NULL),
+w AS MATERIALIZED (SELECT host AS src, coalesce({_host('link')}, host) AS dst, count(*)::DOUBLE AS weight FROM l GROUP BY ALL),
+n AS MATERIALIZED (SELECT host FROM p WHERE host IS NOT NULL UNION SELECT dst FROM w),
+u AS (SELECT host AS src, regexp_extract(host, '{links._SITE}', 1) AS dst FROM n),
+e AS MATERIALIZED (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM w UNION ALL SELECT src, dst, 1e0 FROM u WHERE dst <> '' UNION ALL SELECT dst, src, 1e0 FROM u WHERE dst <> '') WHERE src <> dst GROUP BY ALL),
+a AS MATERIALIZED (SELECT host FROM n UNION SELECT src FROM e UNION SELECT dst FROM e),
+s AS MATERIALIZED (SELECT 'b' AS walk, host FROM a WHERE {any_of(BLOCKED_SITES)} UNION ALL SELECT 't', host FROM a WHERE {any_of(TRUSTED_SITES)} AND NOT {any_of(BLOCKED_SITES)}),
+b AS (SELECT 'b' AS walk, src AS host, dst AS next, weight FROM e UNION ALL SELECT 't', dst, src, weight FROM e),
+m AS MATERIALIZED (SELECT walk, host, next, {links.DAMPING}e0 * weight / sum(weight) OVER (PARTITION BY walk, host) AS share FROM b WHERE (walk, host) NOT IN (SELECT (walk, host) FROM s)),
+r AS (SELECT walk, host, 1e0 AS score, 0 AS step FROM s UNION ALL
+      SELECT walk, host, sum(score), step + 1 FROM (SELECT m.walk, m.host, r.score * m.share AS score, r.step FROM r JOIN m ON m.walk = r.walk AND m.next = r.host UNION ALL
+                                                    SELECT r.walk, r.host, r.score, r.step FROM r JOIN s ON s.walk = r.walk AND s.host = r.host) WHERE step < 150 GROUP BY walk, host, step),
+f AS (SELECT host, coalesce(max(score) FILTER (walk = 't'), 0) AS trust, coalesce(max(score) FILTER (walk = 'b'), 0) AS distrust FROM r WHERE step = 150 GROUP BY host),
+o AS (SELECT page_id, p.host, coalesce(trust, 0) AS t, coalesce(distrust, 0) AS d, coalesce({any_of(BLOCKED_SITES).replace("|| host", "|| p.host")}, false) AS bad FROM p LEFT JOIN f ON p.host = f.host)
+SELECT page_id, host, CASE WHEN host IS NOT NULL THEN round(t, 4) END AS trust, CASE WHEN host IS NOT NULL THEN round(d, 4) END AS distrust,
+       host IS NOT NULL AND NOT bad AND (d < {links.MOST_BAD_LINKS!r} OR (t >= {links.LEAST_BACKING!r} AND t > d)) AS keep
+FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express: no model, tokenizer, compressor or SimHash is needed."""
-    return {"op3_urls": _op3(), "op7_line_dedup": OP7, "op8_decontamination": OP8, "op9_shards": OP9, "op10_fingerprints": OP10}
+    return {"op3_urls": _op3(), "op3_url_lists": _op3_lists(), "op7_line_dedup": OP7, "op8_decontamination": OP8, "op9_shards": OP9, "op10_fingerprints": OP10}
