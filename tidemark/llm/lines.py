@@ -116,7 +116,8 @@ def line_rows(docs: DataFrame, shards: int) -> DataFrame:
 
 def line_index(lines: DataFrame) -> DataFrame:
     """The shards of the index over all distinct line hashes of line_rows."""
-    first = F.min_by("rk", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rk")))
+    late = [F.col("late")] if "late" in lines.columns else []
+    first = F.min_by("rk", F.struct(*late, F.col("doc_id").isNull(), F.col("doc_id"), F.col("rk")))
     distinct = lines.groupBy("h", "shard").agg(F.count("*").alias("n"), first.alias("owner"))
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
@@ -127,9 +128,12 @@ def line_index(lines: DataFrame) -> DataFrame:
     return distinct.groupBy("shard").applyInArrow(build, INDEX)
 
 
-def repeated_lines(docs: DataFrame, shard_lines: int = SHARD_LINES, slice_probes: int = SLICE_PROBES) -> DataFrame:
+def repeated_lines(docs: DataFrame, shard_lines: int = SHARD_LINES, slice_probes: int = SLICE_PROBES, late: DataFrame | None = None) -> DataFrame:
     """rk and pos of each line that another place has first, and whether another row has it (other).
 
+    With `late`, the rks of rows that come after all others, also the first place's rk (owner) and whether the row itself has
+    the line before (later).
+
     Line hashes, 8 bytes for a line, travel to the shard of the index that has them and
     probe its arrays; the lines themselves stay where they are.  A shard's probes are cut into
     slices by document, so that a line that all documents have doesn't fill one task.
@@ -138,22 +142,32 @@ def repeated_lines(docs: DataFrame, shard_lines: int = SHARD_LINES, slice_probes
     shards = max(1, -(-total // shard_lines))
     slices = max(1, -(-total // (shards * slice_probes)))
     lines = line_rows(docs, shards)
-    index = common.cut(docs.sparkSession, line_index(lines)) if slices > 1 else line_index(lines)
+    ordered = lines if late is None else lines.join(late.select("rk", F.lit(True).alias("l")), "rk", "left").withColumn("late", F.coalesce("l", F.lit(False)))
+    index = common.cut(docs.sparkSession, line_index(ordered)) if slices > 1 else line_index(ordered)
     index = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     probes = lines.select("rk", "pos", "h", "shard", F.pmod("rk", F.lit(slices)).cast("int").alias("slice"))
 
+    kinds = {"rk": pa.int64(), "pos": pa.int32(), "other": pa.bool_()}
+    schema = "rk long, pos int, other boolean"
+    if late is not None:
+        kinds |= {"owner": pa.int64(), "later": pa.bool_()}
+        schema += ", owner long, later boolean"
+
     def probe(probes: pa.Table, index: pa.Table) -> pa.Table:
         rk, pos, h = (probes.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("rk", "pos", "h"))
         if not len(rk):
-            return pa.table({"rk": pa.array([], pa.int64()), "pos": pa.array([], pa.int32()), "other": pa.array([], pa.bool_())})
+            return pa.table({c: pa.array([], t) for c, t in kinds.items()})
         found = LineIndex.load([index.column(c)[0].as_py() for c in ("sizes", "bits", "marks", "counts", "owners")])
         counts, owners = found.probe(h.view(np.uint64))
         many = np.flatnonzero(counts > 1)
         many = many[np.lexsort((pos[many], rk[many], h[many]))]
-        drop = many[(owners[many] != rk[many]) | _later(h[many], rk[many], pos[many])]  # the owner too has a line once
-        return pa.table({"rk": pa.array(rk[drop]), "pos": pa.array(pos[drop], pa.int32()), "other": pa.array(owners[drop] != rk[drop])})
+        later = _later(h[many], rk[many], pos[many])
+        gone = (owners[many] != rk[many]) | later  # the owner too has a line once
+        drop = many[gone]
+        found = {"rk": rk[drop], "pos": pos[drop], "other": owners[drop] != rk[drop], "owner": owners[drop], "later": later[gone]}
+        return pa.table({c: pa.array(found[c], t) for c, t in kinds.items()})
 
-    return probes.groupBy("shard", "slice").cogroup(index.groupBy("shard", "slice")).applyInArrow(probe, "rk long, pos int, other boolean")
+    return probes.groupBy("shard", "slice").cogroup(index.groupBy("shard", "slice")).applyInArrow(probe, schema)
 
 
 def _later(h: np.ndarray, rk: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -166,7 +180,7 @@ def _later(h: np.ndarray, rk: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return pos > first
 
 
-def dedup_lines(docs: DataFrame, max_lost: float = 1.0, shard_lines: int = SHARD_LINES, slice_probes: int = SLICE_PROBES, broadcast_rows: int = 200_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_lost: float = 1.0, shard_lines: int = SHARD_LINES, slice_probes: int = SLICE_PROBES, broadcast_rows: int = 200_000, copies: DataFrame | None = None) -> DataFrame:
     """docs with each line kept at its first place in the corpus only, with the columns of docs.
 
     Lines are what newlines part; the same are those whose bytes are.  The first place is in the
@@ -177,20 +191,42 @@ def dedup_lines(docs: DataFrame, max_lost: float = 1.0, shard_lines: int = SHARD
     lines (those with more than white space) to other rows is a copy of them rather than a text with some
     repeated lines; it is left whole, for document dedup to decide.
 
+    With `copies`, the rk, group and keep of rows that are near copies of each other, that holds only for near copies: a row that would
+    lose more than max_lost of its lines to others of its group keeps these, and loses those that rows of other groups have
+    first.  Rows whose keep is false come after all others in the order of first places, as they will go.
+
     A null text stays null.  Rows that repeat id and text count as one row and stay alike.
     """
     spark = docs.sparkSession
-    rk, places, others, fresh = (common.fresh(docs, f"__tm_{c}") for c in ("rk", "gone", "other", "new"))
-    gone = repeated_lines(docs, shard_lines, slice_probes).distinct().groupBy(F.col("rk").alias(rk)).agg(F.collect_list("pos").alias(places), F.count_if("other").alias(others))
+    rk, places, others, foreign, fresh = (common.fresh(docs, f"__tm_{c}") for c in ("rk", "gone", "other", "foreign", "new"))
+    if copies is None:
+        gone = repeated_lines(docs, shard_lines, slice_probes)
+    else:
+        late = common.maybe_broadcast(copies.where("not keep").select("rk"), broadcast_rows)
+        group = common.maybe_broadcast(copies.select("rk", "group"), broadcast_rows)
+        theirs = common.maybe_broadcast(copies.select(F.col("rk").alias("owner"), F.col("group").alias("theirs")), broadcast_rows)
+        gone = repeated_lines(docs, shard_lines, slice_probes, late).join(group, "rk", "left").join(theirs, "owner", "left")
+        kin = ~F.col("later") & F.coalesce(F.col("group") == F.col("theirs"), F.lit(False))
+        gone = gone.withColumn("kin", F.col("other") & kin).select("rk", "pos", "other", "kin")
+    gone = gone.distinct().groupBy(F.col("rk").alias(rk))
+    if copies is None:
+        gone = gone.agg(F.collect_list("pos").alias(places), F.count_if("other").alias(others))
+    else:
+        gone = gone.agg(F.collect_list("pos").alias(places), F.count_if("kin").alias(others), F.collect_list(F.when(~F.col("kin"), F.col("pos"))).alias(foreign))
     gone = common.cut(spark, gone)
     keyed = docs.withColumn(rk, common.row_key()).join(common.maybe_broadcast(gone, broadcast_rows), rk, "left")
     lines = F.split("text", "\n")
-    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places))
-    cut = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    lose = F.col(places).isNotNull()
+    lose, drop = F.col(places).isNotNull(), F.col(places)
     if max_lost < 1:
         real = F.size(F.filter(lines, lambda x: x.rlike(r"\S")))
-        lose = lose & (F.col(others) <= F.lit(max_lost) * real)
+        few = F.col(others) <= F.lit(max_lost) * real
+        if copies is None:
+            lose = lose & few
+        else:
+            drop = F.when(few, F.col(places)).otherwise(F.col(foreign))
+            lose = lose & (F.size(drop) > 0)
+    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop))
+    cut = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     out = keyed.withColumn(fresh, F.when(lose, cut))
     new = {"text": F.coalesce(fresh, "text")}
     if "n_chars" in docs.columns:

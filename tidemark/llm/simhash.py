@@ -295,6 +295,18 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: int = S
     return assignments(docs, distance, segments, group_rows).drop("rk")
 
 
+def copies(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """rk, group and keep of each distinct row that is in a group of near_duplicates with others; group is the rk of the one to keep."""
+    spark = docs.sparkSession
+    slim = common.cut(spark, with_signatures(docs).where("sig is not null").distinct())
+    found = components(edges(slim.select("sig").distinct(), distance, segments, group_rows))
+    named = slim.join(found, F.col("sig") == F.col("node"), "left").select("rk", "doc_id", F.coalesce("root", "sig").alias("root"))
+    group = W.partitionBy("root")
+    first = F.first("rk").over(group.orderBy(F.col("doc_id").asc_nulls_last(), "rk"))
+    rows = named.select("rk", first.alias("group"), F.count("*").over(group).alias("n")).where("n > 1")
+    return common.cut(spark, rows.select("rk", "group", (F.col("rk") == F.col("group")).alias("keep")))
+
+
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, broadcast_rows: int = 2_000_000) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with the columns of docs."""
     spark = docs.sparkSession
