@@ -17,15 +17,17 @@ def test_tokens(spark):
     want = [["it", "s", "a", "test"], ["key", "value", "other"], ["café", "bar"], ["rust", "go"], ["a", "b", "c"], ["東京都"], [], [], []]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert [list(r[0]) for r in df.orderBy("i").select(tokens(F.col("t"))).collect()] == want
-    assert query_tokens("It's_a x²") == ["it", "s", "a", "x²"]
+    for t, w in zip(texts[:-2], want):
+        assert query_tokens(spark, t) == w
+    assert query_tokens(spark, "It's_a x²") == ["it", "s", "a", "x²"] and query_tokens(spark, "हिन्दी") == ["हिन", "दी"]
 
 
 def bm25(texts, query, k1=1.2, b=0.75):
-    docs = {i: query_tokens(t or "") for i, t in texts}
+    docs = {i: (t or "").lower().split() for i, t in texts}
     docs = {i: d for i, d in docs.items() if d}
     n, avg = len(docs), sum(map(len, docs.values())) / max(1, len(docs))
     out = {}
-    for w in query_tokens(query):
+    for w in query.lower().split():
         df = sum(w in d for d in docs.values())
         for i, d in docs.items():
             if tf := d.count(w):
@@ -46,6 +48,36 @@ def test_search_matches_the_formula(spark, tmp_path):
             assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
     assert [r.id for r in fulltext.search(df, ("id",), F.col("t"), "rust go", 3).collect()] == [i for i, _ in bm25(texts, "rust go")[:3]]
     assert fulltext.search(df.limit(0), ("id",), F.col("t"), "rust").count() == 0
+    changed = {3: "rust rust", 60: "the rust", 70: "go", 5: None}
+    gone = {3, 5, 7, 60}
+    now = [(i, t) for i, t in texts if i not in gone] + list(changed.items())
+    rows, keys = spark.createDataFrame(list(changed.items()), "id int, t string"), spark.createDataFrame([(i,) for i in gone | {7}], "id int")
+    later = built.updated(rows, keys)
+    for index in (later, later.merged()):
+        for q in ("rust", "the go"):
+            want = bm25(now, q)
+            got = [(r.id, r.score) for r in index.search(q).collect()]
+            assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
+
+
+def test_a_table_has_its_index(spark, tmp_path):
+    from tidemark.sources.texts import TableTextIndex
+
+    store = Store(spark, str(tmp_path / "s"))
+    t = TableDef("t", "id bigint, t string", ("id",))
+    with store.begin_write() as tx:
+        tx.open_table(t).put([{"id": i, "t": "red " * i} for i in range(4)])
+    index = TableTextIndex(store, "t", F.col("t"), segments=2)
+    assert {r.id for r in index.search("RED").collect()} == {1, 2, 3}
+    for i in range(3):
+        with store.begin_write() as tx:
+            tx.open_table(t).delete(i)
+            tx.open_table(t).put({"id": 10 + i, "t": "blue red"})
+        assert index.refresh() == 2 + i
+        assert {r.id for r in index.search("red").collect()} == {j for j in (1, 2, 3) if j > i} | {10 + j for j in range(i + 1)}
+    store.bulk_load(t, spark.createDataFrame([(1, "red")], t.schema))
+    index.refresh()
+    assert [r.id for r in index.search("red").collect()] == [1]
 
 
 @pytest.mark.parametrize("by", ["cosine", "l2", "dot", "cosine_normalized"])

@@ -1,5 +1,9 @@
 import gc
+import hashlib
+import json
+import os
 import random
+import shutil
 import threading
 
 import pytest
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark import Config, CustomIndex, Store, TableDef, VectorCollection, excluded, included
 from tidemark import errors as E
 from tidemark.sources import transfer
+from tidemark.sources.folder import Folder
 
 USERS = TableDef("users", "id bigint, email string, age int", ("id",), True)
 PAIRS = TableDef("pairs", "k bigint, v string", ("k",))
@@ -294,6 +299,84 @@ def test_export_install_and_damage(store, spark, tmp_path):
     with pytest.raises(E.SnapshotCorrupted):
         transfer.install(other, to)
     assert other.latest_version() == 1
+    again = str(tmp_path / "again")
+    store.table("pairs").write.parquet(f"{again}/data/pairs")  # as an export that broke off leaves it
+    transfer.export(store, again)
+    with pytest.raises(E.WriteConflict):
+        transfer.export(store, again)
+    with pytest.raises(E.InvalidCommitVersion):
+        transfer.install(other, again, commit_version=1)
+    assert transfer.install(other, again, commit_version=7) == 7 == other.latest_version()
+
+
+def test_a_changed_value_is_found_where_sizes_are_the_same(store, spark, tmp_path):
+    put(store, (1, "a"))
+    to = str(tmp_path / "out")
+    transfer.export(store, to)
+    m, folder = transfer.open_snapshot(spark, to)
+    path = folder._p(m.tables["pairs"].files[0].path)
+    raw = open(path, "rb").read()
+    spark.createDataFrame([(1, "b")], "k long, v string").coalesce(1).write.parquet(str(tmp_path / "other"))
+    new = next((tmp_path / "other").glob("part-*")).read_bytes()
+    shutil.copyfile(next((tmp_path / "other").glob("part-*")), path)
+    text = folder.read("snapshot.json").replace(f": {len(raw)}", f": {len(new)}")
+    body = json.loads(text)
+    body["digest"] = hashlib.sha256((body["body"] + json.dumps([body["sizes"], body["sums"]], sort_keys=True)).encode()).hexdigest()
+    with open(folder._p("snapshot.json"), "w") as f:
+        json.dump(body, f)
+    for crc in tmp_path.rglob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(E.SnapshotCorrupted):
+        transfer.install(Store(spark, str(tmp_path / "o")), to)
+
+
+def test_a_name_without_a_folder_stays_below_the_root(spark, tmp_path):
+    folder = Folder(spark, str(tmp_path / "root"))
+    before = set(os.listdir("/"))
+    assert folder.publish("a.json", "x") and not folder.publish("a.json", "y") and folder.read("a.json") == "x"
+    assert set(os.listdir("/")) == before and os.listdir(tmp_path) == ["root"] and os.listdir(tmp_path / "root") == ["a.json"]
+
+
+def test_publication_is_serial_with_explicit_versions(store):
+    s = store.with_config(multi_writer=True)
+    put(s, (1, "a"))
+    one, two, three = s.begin_write(), s.begin_write(10), s.begin_write(5)
+    for tx, k in ((one, 2), (two, 3), (three, 4)):
+        tx.open_table(PAIRS).put({"k": k, "v": "x"})
+    real = s.versions
+    listed = real()
+    two.commit()
+    s.versions = lambda: listed  # as if `one` had looked before `two` published
+    m = s.manifest(1)
+    from tidemark.sources.manifest import Manifest
+
+    assert not s.publish(Manifest(2, 1, m.tables))
+    s.versions = real
+    with pytest.raises(E.InvalidCommitVersion):
+        three.commit()
+    assert one.commit() == 11 and s.versions() == [0, 1, 10, 11] and image(s) == {1: "a", 2: "x", 3: "x"}
+
+
+def test_a_claimed_publication_is_finished_by_others(store):
+    put(store, (1, "a"))
+    put(store, (2, "b"))
+    staged = store.folder.stage(store._name(2), store.folder.read(store._name(2)))
+    store.folder.delete(store._name(2))
+    store.folder.delete(store._head(1))
+    store.folder.publish(store._head(1), json.dumps({"version": 2, "manifest": staged}))
+    again = Store(store.spark, store.folder.root)
+    assert again.latest_version() == 2 and image(again) == {1: "a", 2: "b"}
+
+
+def test_loads_of_unknown_tables(store, spark):
+    rows = spark.createDataFrame([(1, "a")], "k long, v string")
+    with pytest.raises(E.TableNotFound):
+        store.load_batch().replace(PAIRS, rows, create=False)
+    with pytest.raises(E.TableNotFound):
+        store.load_batch().delta(PAIRS, rows, rows.limit(0), rows.limit(0).select("k"))
+    store.bulk_load(PAIRS, rows)
+    store.load_batch().replace(PAIRS, rows.withColumn("v", F.lit("b")), create=False).commit()
+    assert image(store) == {1: "b"}
 
 
 def test_checkpoint_and_recovery(store):
@@ -304,7 +387,9 @@ def test_checkpoint_and_recovery(store):
     with open(store.folder._p(store._name(4)), "w") as f:
         f.write('{"version": 4, "ba')  # cut off
     again = Store(store.spark, store.folder.root)
-    assert transfer.recover(again) == 3 and image(again) == {1: "a", 2: "b", 3: "c"}
+    with pytest.raises(E.LogCorrupted):
+        transfer.recover(again)
+    assert transfer.recover(again, truncate=True) == 3 and again.folder.names("damaged") == ["000000000004.json"] and image(again) == {1: "a", 2: "b", 3: "c"}
     for v in again.versions():
         again.folder.delete(again._name(v))
     last = Store(store.spark, store.folder.root)

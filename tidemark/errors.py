@@ -96,6 +96,10 @@ class SnapshotCorrupted(TidemarkError):
     """A snapshot lacks files, or their digests differ from those in its manifest."""
 
 
+class LogCorrupted(TidemarkError):
+    """A version's manifest can't be read, or names data that is not there."""
+
+
 class UnknownTable(TidemarkError):
     """A snapshot has a table that the store doesn't know."""
 

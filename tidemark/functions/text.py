@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 PATTERN = r"[\p{IsAlphabetic}\p{N}]+"
@@ -15,5 +13,6 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def query_tokens(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", text.lower())
+def query_tokens(spark: SparkSession, text: str) -> list[str]:
+    """The tokens of a query, by the very expression that texts are split with."""
+    return list(spark.range(1).select(tokens(F.lit(text)).alias("t")).first().t)

@@ -6,6 +6,7 @@ reads the postings of the query's terms.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -31,10 +32,15 @@ class Bm25:
 
 
 def term_frequencies(df: DataFrame, key: Key, text: Column) -> DataFrame:
-    """The key, term, tf and dl (tokens of the document) for each term of each row."""
-    rows = df.select(*key, tokens(text).alias("__t"))
-    each = rows.select(*key, F.size("__t").alias("dl"), F.explode("__t").alias("term"))
-    return each.groupBy(*key, "term", "dl").agg(F.count("*").alias("tf"))
+    """The key, dl (tokens of the document), term, tf and whether it is the document's first term, for each term of each row.
+
+    A row's tokens are sorted and counted within the row, so nothing is shuffled.
+    """
+    rows = df.select(*key, F.inline(F.array(F.struct(F.array_sort(tokens(text)).alias("__t")))))
+    starts = F.filter(F.sequence(F.lit(0), F.size("__t") - 1), lambda i: (i == 0) | (F.get("__t", i) != F.get("__t", i - 1)))
+    rows = rows.where("size(__t) > 0").select(*key, "__t", F.inline(F.array(F.struct(starts.alias("__s")))))
+    each = lambda at, k: F.struct(F.get("__t", at).alias("term"), (F.coalesce(F.get("__s", k + 1), F.size("__t")) - at).cast("long").alias("tf"), (k == 0).alias("first"))
+    return rows.select(*key, F.size("__t").alias("dl"), F.inline(F.transform("__s", each)))
 
 
 def doc_stats(df: DataFrame, key: Key, text: Column) -> DataFrame:
@@ -57,7 +63,7 @@ def search(df: DataFrame, key: Key, text: Column, query: str, limit: int | None
 
     A word that the query repeats counts as often.  An empty query finds nothing.
     """
-    words = query_tokens(query)
+    words = query_tokens(df.sparkSession, query)
     terms = list(dict.fromkeys(words))
     none = df.select(*key).where(F.lit(False)).withColumn("score", F.lit(0.0))
     if not terms:
@@ -75,28 +81,58 @@ def search(df: DataFrame, key: Key, text: Column, query: str, limit: int | None
 
 
 class TextIndex:
-    """Postings of a table, made once for a version and read for each search.
+    """Postings of a table: the key, dl, term, tf and first of each term of each document.
 
-    postings: the key, term, tf and dl, written in order of term, so that a search reads
-    the row groups of its terms alone.
+    Held at a path, they are segments, each sorted by term: a task writes those of its own rows, so building
+    shuffles nothing and a frequent term is spread over all of them, while a search reads the row groups of its terms alone.
     """
 
-    def __init__(self, postings: DataFrame, key: Key, n: int, total: int):
-        self.postings, self.key, self.n, self.total = postings, key, n, total
+    def __init__(self, postings: DataFrame, key: Key, text: Column, n: int, total: int, path: str | None = None):
+        self.postings, self.key, self.text, self.n, self.total, self.path = postings, key, text, n, total, path
 
     @classmethod
     def build(cls, df: DataFrame, key: Key, text: Column, path: str | None = None) -> TextIndex:
-        """The index of df, held in a Parquet table at `path` if that is given."""
-        postings = cut(term_frequencies(df, key, text))
-        total = postings.agg(F.sum("tf")).first()[0] or 0
-        n = postings.select(*key).distinct().count()
-        if path:
-            postings.repartitionByRange("term").sortWithinPartitions("term", *key).write.parquet(path)
-            postings = df.sparkSession.read.parquet(path)
-        return cls(postings, key, n, total)
+        """The index of df, held in a Parquet table below `path` if that is given."""
+        postings = cls._held(term_frequencies(df, key, text), path)
+        return cls(postings, key, text, *cls._sums(postings), path)
+
+    @staticmethod
+    def _held(postings: DataFrame, path: str | None) -> DataFrame:
+        if not path:
+            return cut(postings)
+        at = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+        postings.sortWithinPartitions("term").write.parquet(at)
+        return postings.sparkSession.read.schema(postings.schema).parquet(at)
+
+    @staticmethod
+    def _sums(postings: DataFrame) -> tuple[int, int]:
+        r = postings.where("first").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
+        return r.n, r.total
+
+    def updated(self, rows: DataFrame, keys: DataFrame) -> TextIndex:
+        """The index after `keys` have gone and `rows` have come; what isn't changed isn't read but for the terms of a search.
+
+        The postings of changed documents leave by an anti-join, those of the new ones are a segment more.
+        """
+        gone = cut(keys.select(*self.key).distinct())
+        n, total = self._sums(self.postings.join(gone, list(self.key), "left_semi"))
+        fresh = self._held(term_frequencies(rows, self.key, self.text), self.path)
+        more, longer = self._sums(fresh)
+        kept = self.postings.join(gone, list(self.key), "left_anti").select(*fresh.columns)
+        return TextIndex(kept.unionByName(fresh), self.key, self.text, self.n - n + more, self.total - total + longer, self.path)
+
+    def unindex(self, keys: DataFrame) -> TextIndex:
+        """The index without the documents of `keys`."""
+        gone = cut(keys.select(*self.key).distinct())
+        n, total = self._sums(self.postings.join(gone, list(self.key), "left_semi"))
+        return TextIndex(self.postings.join(gone, list(self.key), "left_anti"), self.key, self.text, self.n - n, self.total - total, self.path)
+
+    def merged(self) -> TextIndex:
+        """The same with all postings in new segments, without anti-joins."""
+        return TextIndex(self._held(self.postings, self.path), self.key, self.text, self.n, self.total, self.path)
 
     def search(self, query: str, limit: int | None = None, bm25: Bm25 = Bm25()) -> DataFrame:
-        words = query_tokens(query)
+        words = query_tokens(self.postings.sparkSession, query)
         times = {w: words.count(w) for w in words}
         hits = self.postings.where(F.col("term").isin(list(times)))
         df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each query word

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.errors import DuplicateKey, IndexDdlConflict, InvalidCommitVersion, InvalidParameters, TableNotFound, WriteConflict
 from tidemark.functions import keys as codec
 from tidemark.functions.text import tokens
 from tidemark.operators import fulltext, mutate, reads, vector
@@ -141,9 +142,23 @@ def scan_limit(spark, d):
     return reads.scan(table(spark, d, "orders"), ORDERS, 1000, 100)
 
 
-@query("SELECT max(o_orderkey) + 1 AS next_id FROM orders")
+@query("SELECT max(o_orderkey) + 1 AS loaded, max(o_orderkey) + 3 AS after_two, 1000000000000::BIGINT AS forced, 1000000000001::BIGINT AS at_last FROM orders")
 def next_id(spark, d):
-    return table(spark, d, "orders").agg((F.max("o_orderkey") + 1).alias("next_id"))
+    """The counter of a numbered table after a load, two inserts, a jump and one more insert."""
+    s = new_store(spark)
+    t = TableDef("numbered", "id bigint, o_custkey bigint", ("id",), True)
+    s.bulk_load(t, table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"))
+    found = [s.begin_read().open_table(t).next_id()]
+    with s.begin_write() as tx:
+        tx.open_table(t).insert_batch([{"o_custkey": 1}, {"o_custkey": 2}])
+        found.append(tx.open_table(t).next_id())
+    with s.begin_write() as tx:
+        w = tx.open_table(t)
+        w.set_next_id(10**12)
+        found.append(w.next_id())
+        w.insert({"o_custkey": 3})
+    found.append(s.begin_read().open_table(t).next_id())
+    return spark.createDataFrame([tuple(found)], "loaded long, after_two long, forced long, at_last long")
 
 
 # --- indexes --------------------------------------------------------------------------------------
@@ -191,10 +206,27 @@ def idx_define_unique_violation(spark, d):
     return ix.violations(table(spark, d, "part"), Index("by_name", ("p_name",), True))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_acctbal < 0")
+@query("SELECT c_custkey AS id FROM customer WHERE c_acctbal < 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def idx_custom(spark, d):
-    overdrawn = CustomIndex("overdrawn", lambda df: df.where("c_acctbal < 0").select(F.col("c_custkey").alias("id")))
-    return overdrawn.build(table(spark, d, "customer"))
+    """A user's index over a table of a store, after some of the rows have changed; its check refuses one change."""
+    s = new_store(spark)
+    c = table(spark, d, "customer")
+    s.bulk_load(CUSTOMERS, c)
+
+    def no_nameless(image: DataFrame) -> None:
+        if not image.where("c_name = ''").isEmpty():
+            raise InvalidParameters("a customer has no name")
+
+    s.define_custom_index("customer", CustomIndex("overdrawn", lambda df: df.where("c_acctbal < 0").select(F.col("c_custkey").alias("id")), no_nameless))
+    with s.begin_write() as tx:
+        w = tx.open_table("customer")
+        buyers = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+        w.update_batch(c.where("c_acctbal < 0").join(buyers, "c_custkey", "left_semi").withColumn("c_acctbal", F.lit(0.0)))
+        try:
+            w.update({**c.where("c_acctbal < 0").first().asDict(), "c_name": ""})
+        except InvalidParameters:
+            pass
+    return s.begin_read().open_table("customer").custom_index("overdrawn")
 
 
 # --- changes --------------------------------------------------------------------------------------
@@ -353,11 +385,23 @@ def mw_merge_disjoint(spark, d):
     return s.table("customer")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND c_mktsegment = 'BUILDING'")
+@query("SELECT 'customer' AS table_name, 2::BIGINT AS by_version, count(*)::BIGINT AS zeros FROM customer WHERE c_acctbal <= 0")
 def mw_conflict_keys(spark, d):
-    """The keys that two change sets over one base have in common."""
+    """Of two writers over one base that have a key in common the later one fails, and nothing of it is seen."""
+    s = new_store(spark, Config(multi_writer=True, auto_gc=False))
     c = table(spark, d, "customer")
-    return c.where("c_acctbal < 0").select("c_custkey").join(c.where("c_mktsegment = 'BUILDING'").select("c_custkey"), "c_custkey", "left_semi")
+    s.bulk_load(CUSTOMERS, c)
+    one, two = s.begin_write(), s.begin_write()
+    one.open_table("customer").update_batch(c.where("c_acctbal < 0").withColumn("c_acctbal", F.lit(0.0)))
+    two.open_table("customer").update_batch(c.where("c_acctbal < 100").withColumn("c_acctbal", F.lit(-1.0)))
+    one.commit()
+    try:
+        two.commit()
+        failed = (None, None)
+    except WriteConflict as e:
+        failed = (e.table, e.version)
+    zeros = s.table("customer").where("c_acctbal <= 0").agg(F.count("*").alias("zeros"))
+    return zeros.select(F.lit(failed[0]).alias("table_name"), F.lit(failed[1]).cast("long").alias("by_version"), "zeros")
 
 
 @query("SELECT 'supplier' AS failed, 2::BIGINT AS latest, count(*)::BIGINT AS zeros FROM supplier WHERE s_acctbal < 0 OR s_acctbal = 0")
@@ -448,18 +492,29 @@ def compaction(spark, d):
     return s.table("supplier")
 
 
-@query("SELECT p.pos::BIGINT AS pos, o.o_orderkey, o.o_totalprice FROM (SELECT unnest(range(0, 100)) AS pos) p JOIN orders o ON o.o_orderkey = (p.pos * 7919) % 1500")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 20 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey IN (SELECT (p * 7919) % 1500 FROM (SELECT unnest(range(0, 100)) AS p))")
 def ycsb_read_mix(spark, d):
-    """A hundred point reads at spread keys."""
-    return reads.resolve(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ORDERS, [(p * 7919) % 1500 for p in range(100)])
+    """A transaction updates every twentieth order, another reads a hundred at spread keys."""
+    s = new_store(spark)
+    t = TableDef("orders", "o_orderkey bigint, o_totalprice double", ORDERS)
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    s.bulk_load(t, o)
+    with s.begin_write() as tx:
+        tx.open_table(t).update_batch(o.where("o_orderkey % 20 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1))
+    return s.begin_read().open_table(t).resolve([(p * 7919) % 1500 for p in range(100)]).select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT c_custkey, round(c_acctbal + coalesce(s.spent, 0), 2) AS balance FROM customer LEFT JOIN " + _SPENT + " s ON o_custkey = c_custkey")
 def smallbank_deposits(spark, d):
-    """Each order is a deposit; deposits commute, so they are one grouped sum."""
-    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    joined = c.join(_spent(spark, d), F.col("o_custkey") == F.col("c_custkey"), "left")
-    return joined.select("c_custkey", F.round(F.col("c_acctbal") + F.coalesce("spent", F.lit(0.0)), 2).alias("balance"))
+    """Each order is a deposit; deposits commute, so a transaction adds their sums to the balances."""
+    s = new_store(spark)
+    t = TableDef("accounts", "c_custkey bigint, balance double", CUSTOMER)
+    s.bulk_load(t, table(spark, d, "customer").select("c_custkey", F.round("c_acctbal", 2).alias("balance")))
+    with s.begin_write() as tx:
+        w = tx.open_table(t)
+        changed = w.df.join(_spent(spark, d), F.col("o_custkey") == F.col("c_custkey"))
+        w.update_batch(changed.select("c_custkey", F.round(F.col("balance") + F.col("spent"), 2).alias("balance")))
+    return s.table("accounts")
 
 
 @query("SELECT table_name, n FROM (SELECT 'nation' AS table_name, count(*)::BIGINT AS n FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'events', count(*)::BIGINT FROM events)")
@@ -475,6 +530,238 @@ def sql_views(spark, d):
     return spark.sql("SELECT 'nation' AS table_name, count(*) AS n FROM tm_nation JOIN tm_region ON n_regionkey = r_regionkey UNION ALL SELECT 'events', count(*) FROM tm_events")
 
 
+# --- handles of a store ---------------------------------------------------------------------------
+
+
+def _shop(spark, d, config: Config = Config(auto_gc=False)) -> Store:
+    """Customers with a unique and two other indexes, and suppliers."""
+    s = new_store(spark, config)
+    s.load_batch().replace(CUSTOMERS, table(spark, d, "customer")).replace(SUPPLIERS, table(spark, d, "supplier")).commit()
+    with s.begin_write() as tx:
+        w = tx.open_table(CUSTOMERS)
+        w.define_index("by_name", "c_name", unique=True)
+        w.define_index("by_segment", "c_mktsegment")
+        w.define_index("by_nation", ("c_nationkey", "c_mktsegment"))
+    return s
+
+
+_CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+
+
+@query(f"{_CUSTOMER} WHERE c_custkey IN (3, 50) UNION ALL {_CUSTOMER} WHERE c_custkey > 100 AND c_custkey <= 120 UNION ALL (SELECT * FROM ({_CUSTOMER}) ORDER BY c_custkey LIMIT 1) UNION ALL (SELECT * FROM ({_CUSTOMER}) ORDER BY c_custkey DESC LIMIT 1)")
+def store_reads(spark, d):
+    """get, get_many, range, first and last of a reader."""
+    r = _shop(spark, d).begin_read().open_table("customer")
+    cols = CUSTOMERS.struct.names
+    parts = [r.get(3), r.get_many([50, 10**9]).where("c_name is not null").select(*cols), r.range(excluded(100), included(120)), r.first(), r.last()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*cols))
+    return out
+
+
+@query(f"""SELECT 'unique' AS kind, * FROM ({_CUSTOMER}) WHERE c_name >= (SELECT max(c_name) FROM customer) UNION ALL SELECT 'segment', * FROM ({_CUSTOMER}) WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT 'compound', * FROM ({_CUSTOMER}) WHERE c_nationkey = 3 AND c_mktsegment >= 'FURNITURE' OR c_nationkey = 4 AND c_mktsegment < 'HOUSEHOLD'""")
+def store_index_reads(spark, d):
+    """Reads by the indexes of a table of a store, ranges of a unique and of a compound one among them."""
+    r = _shop(spark, d).begin_read().open_table("customer")
+    top = r.df.agg(F.max("c_name")).first()[0]
+    found = {"unique": r.index_range("by_name", included(top)), "segment": r.get_by_index("by_segment", "BUILDING"), "compound": r.index_range("by_nation", included(3, "FURNITURE"), excluded(4, "HOUSEHOLD"))}
+    parts = [df.select(F.lit(k).alias("kind"), *CUSTOMERS.struct.names) for k, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""SELECT 'customer' AS t, count(*)::BIGINT AS n FROM customer UNION ALL SELECT 'supplier', (count(*) - count_if(s_acctbal < 0))::BIGINT FROM supplier
+UNION ALL SELECT 'moved', count_if(s_acctbal < 0)::BIGINT FROM supplier""")
+def open_three_tables(spark, d):
+    """One transaction moves rows between three tables."""
+    s = _shop(spark, d)
+    moved = TableDef("moved", "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double", SUPPLIER)
+    with s.begin_write() as tx:
+        c, p, m = tx.open_tables(CUSTOMERS, SUPPLIERS, moved)
+        bad = table(spark, d, "supplier").where("s_acctbal < 0")
+        m.put(bad)
+        p.delete_batch(bad.select("s_suppkey"))
+        names = tx.table_names()
+    r = s.begin_read()
+    return spark.createDataFrame([(n, r.open_table(n).df.count()) for n in names], "t string, n long")
+
+
+@query("SELECT unnest(['supplier']) AS name, true AS known, false AS again, true AS before")
+def delete_table(spark, d):
+    s = _shop(spark, d)
+    with s.begin_write() as tx:
+        known, again = tx.delete_table("customer"), tx.delete_table("nothing")
+    before = "customer" in s.begin_read(2).table_names()
+    return spark.createDataFrame([(n, known, again, before) for n in s.begin_read().table_names()], "name string, known boolean, again boolean, before boolean")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey <> (SELECT min(s_suppkey) FROM supplier) UNION ALL SELECT -5, 'new', 1, 2.5")
+def insert_and_delete(spark, d):
+    """insert_with_id of a row (a second time it is refused) and delete of another, in one transaction."""
+    s = _shop(spark, d)
+    row = {"s_suppkey": -5, "s_name": "new", "s_nationkey": 1, "s_acctbal": 2.5}
+    with s.begin_write() as tx:
+        w = tx.open_table("supplier")
+        first = w.first().first().s_suppkey
+        w.insert_with_id(row)
+        try:
+            w.insert_with_id(row)
+        except DuplicateKey:
+            w.delete(first)
+    return s.table("supplier")
+
+
+@query("SELECT 2 AS refused, 1 AS swapped, c_name FROM customer WHERE c_custkey = (SELECT max(c_custkey) FROM customer)")
+def unique_swap(spark, d):
+    """Two rows can't swap the values of a unique index row by row; with strict_unique off a batch can."""
+    s = _shop(spark, d)
+    rows = [r.asDict() for r in s.table("customer").orderBy("c_custkey").limit(1).collect() + s.table("customer").orderBy(F.desc("c_custkey")).limit(1).collect()]
+    swap = [{**rows[0], "c_name": rows[1]["c_name"]}, {**rows[1], "c_name": rows[0]["c_name"]}]
+    refused = 0
+    for change in ([swap[0]], swap):
+        tx = s.begin_write()
+        try:
+            tx.open_table("customer").update_batch(change)
+        except DuplicateKey:
+            refused += 1
+        tx.rollback()
+    other = s.with_config(strict_unique=False)
+    with other.begin_write() as tx:
+        tx.open_table("customer").update_batch(swap)
+    now = other.begin_read().open_table("customer").get(rows[0]["c_custkey"])
+    return now.select(F.lit(refused).alias("refused"), F.lit(1).alias("swapped"), "c_name")
+
+
+@query("SELECT true AS conflict, 0::BIGINT AS indexes, count(*)::BIGINT AS n FROM supplier WHERE s_acctbal >= 0")
+def index_ddl_conflict(spark, d):
+    """An index can't be defined on a table that another commit changed meanwhile."""
+    s = new_store(spark, Config(multi_writer=True, auto_gc=False))
+    rows = table(spark, d, "supplier")
+    s.bulk_load(SUPPLIERS, rows)
+    one, two = s.begin_write(), s.begin_write()
+    two.open_table("supplier").define_index("by_nation", "s_nationkey")
+    one.open_table("supplier").delete_batch(rows.where("s_acctbal < 0").select("s_suppkey"))
+    one.commit()
+    try:
+        two.commit()
+        conflict = False
+    except IndexDdlConflict:
+        conflict = True
+    indexes = len(s.manifest().tables["supplier"].indexes)
+    return s.table("supplier").agg(F.count("*").alias("n")).select(F.lit(conflict).alias("conflict"), F.lit(indexes).cast("long").alias("indexes"), "n")
+
+
+@query("SELECT 2::BIGINT AS live, true AS refused, false AS soon, true AS later, 0::BIGINT AS after, -9::DOUBLE AS s_acctbal")
+def write_intents(spark, d):
+    """A live writer's keys refuse another at once, who may wait for it with or without a limit of time."""
+    s = new_store(spark, Config(multi_writer=True, auto_gc=False))
+    rows = table(spark, d, "supplier")
+    s.bulk_load(SUPPLIERS, rows)
+    some = [r.asDict() for r in rows.orderBy("s_suppkey").limit(2).collect()]
+    one, two = s.begin_write(), s.begin_write()
+    one.open_table("supplier").put([{**r, "s_acctbal": -9.0} for r in some])
+    live, holder = s.live_writes(), None
+    try:
+        two.open_table("supplier").put({**some[0], "s_acctbal": 1.0})
+    except WriteConflict as e:
+        holder = e.holder
+    soon = holder.wait(0.01)
+    one.commit()
+    later = holder.wait()
+    two.rollback()
+    now = s.begin_read().open_table("supplier").get(some[0]["s_suppkey"]).select("s_acctbal")
+    named = {"live": F.lit(live).cast("long"), "refused": F.lit(holder is not None), "soon": F.lit(soon), "later": F.lit(later), "after": F.lit(s.live_writes()).cast("long")}
+    return now.select(*[c.alias(n) for n, c in named.items()], "s_acctbal")
+
+
+@query("SELECT 10::BIGINT AS latest, 3::BIGINT AS refused, s_suppkey FROM supplier WHERE s_acctbal > 0 ORDER BY s_suppkey LIMIT 1")
+def explicit_versions(spark, d):
+    """Versions of chosen numbers follow one another; one below the latest is refused, also when it was chosen before that."""
+    s = new_store(spark, Config(multi_writer=True, auto_gc=False))
+    t = TableDef("marks", "s_suppkey bigint, n int", SUPPLIER)
+    one = s.begin_write(5)
+    two = s.begin_write(10)
+    key = table(spark, d, "supplier").where("s_acctbal > 0").orderBy("s_suppkey").first().s_suppkey
+    one.open_table(TableDef("others", "s_suppkey bigint, n int", SUPPLIER)).put({"s_suppkey": 1, "n": 1})
+    two.open_table(t).put({"s_suppkey": key, "n": 2})
+    two.commit()
+    refused = 0
+    for act in (one.commit, lambda: s.begin_write(10), lambda: s.begin_write(7)):
+        try:
+            act()
+        except InvalidCommitVersion:
+            refused += 1
+    return s.table("marks").select(F.lit(s.latest_version()).cast("long").alias("latest"), F.lit(refused).cast("long").alias("refused"), "s_suppkey")
+
+
+@query("SELECT 4::BIGINT AS hooked, 4::BIGINT AS durable, 0::BIGINT AS pending, 4::BIGINT AS waited, 1::BIGINT AS logged, true AS unknown")
+def durability(spark, d):
+    """Hooks, the durable version, waiting for it and the log beyond a version; a load of an unknown table without `create` is refused."""
+    s = _shop(spark, d)
+    seen: list[int] = []
+    s.on_durable(seen.append)
+    for _ in range(2):
+        with s.begin_write() as tx:
+            tx.open_table("supplier").put({"s_suppkey": -1, "s_name": "x", "s_nationkey": 0, "s_acctbal": 0.0})
+    try:
+        s.load_batch().replace(TableDef("nothing", "id bigint", ("id",)), spark.range(1).select("id"), create=False)
+        unknown = False
+    except TableNotFound:
+        unknown = True
+    row = (seen[-1], s.durable_version(), s.pending_writes(), s.wait_durable(4), s.read_log(3).count(), unknown)
+    return spark.createDataFrame([row], "hooked long, durable long, pending long, waited long, logged long, unknown boolean")
+
+
+@query("SELECT 'registered' AS name, true AS unknown, 1::BIGINT AS n")
+def register_tables(spark, d):
+    s = new_store(spark)
+    tx = s.begin_write()
+    try:
+        tx.open_table("registered")
+        unknown = False
+    except TableNotFound:
+        unknown = True
+    tx.rollback()
+    s.register_table(TableDef("registered", "id bigint, v string", ("id",), True))
+    with s.begin_write() as tx:
+        tx.open_table("registered").insert({"v": "a"})
+    return spark.createDataFrame([(n, unknown, s.begin_read().open_table(n).len()) for n in s.begin_read().table_names()], "name string, unknown boolean, n long")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, round(s_acctbal * 2, 2) AS s_acctbal FROM supplier WHERE s_acctbal > 0")
+def tx_replace(spark, d):
+    """All rows of a table are replaced within a transaction."""
+    s = _shop(spark, d)
+    with s.begin_write() as tx:
+        tx.open_table("supplier").replace(table(spark, d, "supplier").where("s_acctbal > 0").withColumn("s_acctbal", F.round(F.col("s_acctbal") * 2, 2)))
+    return s.table("supplier")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal, 42::BIGINT AS version FROM supplier")
+def install_at_version(spark, d):
+    """A snapshot of some tables becomes a version of a chosen number; from a checkpoint, with what it is read by."""
+    s = _shop(spark, d)
+    transfer.checkpoint(s)
+    m, folder = transfer.open_checkpoint(s)
+    other = new_store(spark)
+    version = transfer.install(other, folder.root, only={"supplier"}, expect_version=m.version, commit_version=42)
+    return other.begin_read(version).open_table("supplier").iter().withColumn("version", F.lit(other.latest_version()).cast("long"))
+
+
+@query("SELECT true AS refused, upper(hex(encode(r_name))) || '000100' AS framed FROM region")
+def key_length_cap(spark, d):
+    """A key of more than 64 KiB is refused; a component of a compound key is framed."""
+    long = spark.range(1).select(F.repeat(F.lit("x"), 1 << 17).alias("k"))
+    try:
+        long.select(codec.encode_hex([(F.col("k"), "string")])).collect()
+        refused = False
+    except Exception as e:
+        refused = "KeyTooLong" in str(e)
+    framed = codec.encode_hex([(F.col("r_name"), "string"), (F.lit(0), "u8")])
+    return table(spark, d, "region").select(F.lit(refused).alias("refused"), framed.alias("framed"))
+
+
 # --- full text ------------------------------------------------------------------------------------
 
 _T = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -554,6 +841,40 @@ def ft_search_small(spark, d):
     return _found(fulltext.search(table(spark, d, "benchmark"), ("item_id",), F.col("text"), "the and of"))
 
 
+@query(_bm25_sql("हिन 東京都 thble", source="(SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' हिन्दी' WHEN lang = 'fr' THEN text || ' 東京都' ELSE text END AS text FROM documents)").replace("\\p{N}]", "\\p{N}\\x{093F}\\x{0940}]") + " GROUP BY doc_id")
+def ft_search_unicode(spark, d):
+    """Queries are split as texts are, whatever the script."""
+    docs = table(spark, d, "documents")
+    more = F.when(F.col("lang") == "de", F.concat("text", F.lit(" हिन्दी"))).when(F.col("lang") == "fr", F.concat("text", F.lit(" 東京都"))).otherwise(F.col("text"))
+    return _found(fulltext.search(docs, ("doc_id",), more, "हिन 東京都 THBLE"))
+
+
+@query(_bm25_sql("thble ering", source="(SELECT doc_id, CASE WHEN lang = 'fr' THEN 'thble ' || text ELSE text END AS text FROM documents WHERE lang <> 'de')") + " GROUP BY doc_id")
+def ft_index_update(spark, d):
+    """The index of a table of a store follows it: German texts go, French ones get a word more."""
+    from tidemark.sources.texts import TableTextIndex
+
+    s = new_store(spark)
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    t = TableDef("docs", "doc_id bigint, lang string, text string", ("doc_id",))
+    s.bulk_load(t, docs)
+    index = TableTextIndex(s, "docs", F.col("text"))
+    index.refresh()
+    with s.begin_write() as tx:
+        w = tx.open_table(t)
+        w.delete_batch(docs.where("lang = 'de'").select("doc_id"))
+        w.update_batch(docs.where("lang = 'fr'").withColumn("text", F.concat(F.lit("thble "), "text")))
+    index.refresh()
+    return _found(index.search("thble ering"))
+
+
+@query(f"SELECT r.doc_id, r.score FROM ({_bm25_sql('thble ering', source="(SELECT * FROM documents WHERE lang <> 'es')")} GROUP BY doc_id) r")
+def ft_unindex(spark, d):
+    docs = table(spark, d, "documents")
+    built = fulltext.TextIndex.build(docs, ("doc_id",), F.col("text"))
+    return _found(built.unindex(docs.where("lang = 'es'").select("doc_id")).search("thble ering"))
+
+
 # --- vectors --------------------------------------------------------------------------------------
 
 _DIST = {
@@ -647,6 +968,28 @@ def vec_finite_check(spark, d):
     return table(spark, d, "embeddings").select("vec_id", vector.is_finite(F.col("embedding")).alias("finite"))
 
 
+@query(_knn_sql("cosine", "label >= 0").replace("SELECT vec_id, round", "SELECT vec_id + 1 AS id, round"))
+def vec_bulk_insert(spark, d):
+    """A collection that is filled row by row and in bulk, in order of vec_id, searched by id filters that have all its rows."""
+    from tidemark.sources.vectors import VectorCollection, ids_from_rows
+
+    c = VectorCollection(new_store(spark), "vectors", 64)
+    e, q = _vectors(spark, d)
+    rows = [(list(r.embedding), str(r.label)) for r in e.orderBy("vec_id").collect()]  # a small table, as a user would hand rows in
+    c.upsert(*rows[0])
+    c.bulk_insert(rows[1:])
+    return _near(c.search(q, 10, ids_from_rows(c.store.table(c.table.name))))
+
+
+@query("WITH q AS (SELECT embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(list_sum(list_transform(list_zip(a, b), lambda x: abs(x[1] - x[2]))), 6) + 0e0 AS dist FROM (SELECT vec_id, embedding::DOUBLE[] AS a, b FROM embeddings, q)")
+def vec_user_metric(spark, d):
+    """A metric of the user's: the sum of absolute differences."""
+    import numpy as np
+
+    e, q = _vectors(spark, d)
+    return _near(vector.distances(e, q, lambda m, v: np.abs(m - v).sum(axis=1), id="vec_id"))
+
+
 # --- keys -----------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import time
 import uuid
 from urllib.parse import urlparse
 
@@ -50,29 +51,53 @@ class Folder:
 
     def publish(self, name: str, text: str) -> bool:
         """Make a file, whole, unless there is one of this name; whether it was made."""
+        return self.settle(self.stage(name, text), name)
+
+    def stage(self, name: str, text: str) -> str:
+        """Write a hidden file beside `name`; what it is called."""
         folder = name.rpartition("/")[0]
-        temporary = f"{folder}/.{uuid.uuid4().hex}"
+        temporary = f"{folder}/.{uuid.uuid4().hex}" if folder else f".{uuid.uuid4().hex}"
         if self.local:
             os.makedirs(self._p(folder), exist_ok=True)
             with open(self._p(temporary), "w", encoding="utf-8") as f:
                 f.write(text)
                 f.flush()
                 os.fsync(f.fileno())
+        else:
+            stream = self._fs.create(self._p(temporary), False)
+            stream.write(bytearray(text.encode()))
+            stream.close()
+        return temporary
+
+    def settle(self, temporary: str, name: str) -> bool:
+        """Give a staged file its name, unless that is taken; the staged one is gone in either case."""
+        if self.local:
             try:
                 os.link(self._p(temporary), self._p(name))  # fails if the name is taken
                 return True
-            except FileExistsError:
+            except (FileExistsError, FileNotFoundError):  # the latter: another process has settled it
                 return False
             finally:
-                os.unlink(self._p(temporary))
-        stream = self._fs.create(self._p(temporary), False)
-        stream.write(bytearray(text.encode()))
-        stream.close()
+                self.delete(temporary)
         made = not self._fs.exists(self._p(name)) and self._fs.rename(self._p(temporary), self._p(name))
         if not made:
             self._fs.delete(self._p(temporary), False)
         return made
 
+    def move(self, name: str, to: str) -> None:
+        if self.local:
+            os.makedirs(os.path.dirname(self._p(to)), exist_ok=True)
+            os.replace(self._p(name), self._p(to))
+        else:
+            self._fs.mkdirs(self._p(to).getParent())
+            self._fs.rename(self._p(name), self._p(to))
+
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder was last changed."""
+        if self.local:
+            return time.time() - os.path.getmtime(self._p(name))
+        return time.time() - self._fs.getFileStatus(self._p(name)).getModificationTime() / 1000
+
     def delete(self, name: str) -> None:
         if not self.local:
             self._fs.delete(self._p(name), True)

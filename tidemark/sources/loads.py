@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
-from tidemark.errors import InvalidBulkLoad, RowCountMismatch, WriteConflict, WriterBusy
+from tidemark.errors import InvalidBulkLoad, RowCountMismatch, TableNotFound, WriteConflict, WriterBusy
 from tidemark.operators import index as ix
 from tidemark.operators import mutate
 from tidemark.sources.manifest import Manifest, TableDef, TableState
@@ -21,8 +21,10 @@ class LoadBatch:
         self.store, self.base = store, store.manifest()
         self.staged: dict[str, tuple[TableState, str | None]] = {}
 
-    def _state(self, d: TableDef) -> TableState:
+    def _state(self, d: TableDef, create: bool = True) -> TableState:
         known = self.base.tables.get(d.name)
+        if known is None and not create:
+            raise TableNotFound(d.name)
         if known:
             check_def(d, known)
         return known.copy() if known else TableState.of(d)
@@ -41,12 +43,12 @@ class LoadBatch:
             state.next_id = next_id or max(1, top + 1)
         self.staged[d.name] = (state, None)
 
-    def replace(self, d: TableDef, rows: DataFrame, position: str | None = None, row_count: int | None = None) -> LoadBatch:
+    def replace(self, d: TableDef, rows: DataFrame, position: str | None = None, row_count: int | None = None, create: bool = True) -> LoadBatch:
         """The table becomes these rows.  With `position`, keys must ascend by it; without, any order will do.
 
-        `row_count` is how many rows there must be.
+        `row_count` is how many rows there must be.  Without `create`, the table must exist.
         """
-        state = self._state(d)
+        state = self._state(d, create)
         good = mutate.replace_sorted(rows, d.key, position) if position else mutate.replace_unsorted(rows, d.key)
         self._stage(d, state, good, None)
         loaded = sum(f.rows for f in state.files)
@@ -64,7 +66,8 @@ class LoadBatch:
         return self
 
     def delta(self, d: TableDef, inserts: DataFrame, updates: DataFrame, deletes: DataFrame) -> LoadBatch:
-        state = self._state(d)
+        """Change a table that exists; see mutate.delta."""
+        state = self._state(d, False)
         image = mutate.delta(self.store.image(state), tuple(state.key), inserts, updates, deletes)
         before = state.next_id
         self._stage(d, state, image, None)
@@ -81,7 +84,7 @@ class LoadBatch:
                 raise WriterBusy("a writer is live")
             tables = {**self.base.tables, **{n: s for n, (s, _) in self.staged.items()}}
             m = Manifest(self.base.version + 1, self.base.version, tables, installed=sorted(self.staged), tokens=dict(self.base.tokens))
-            if self.store.latest_version() != self.base.version or not self.store.publish(m):
+            if self.store.latest_version() != self.base.version or not self.store.publish(m):  # the base's only successor
                 raise WriteConflict("another commit came first", version=m.version)
             self.store.counters["bulk_loads"] += 1
         if self.store.config.auto_gc:

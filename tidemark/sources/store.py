@@ -1,11 +1,13 @@
 """Versioned tables: immutable Parquet data, and one small manifest for each version.
 
-A version is published by making its manifest file, which fails if another has taken its number; the
-loser validates again.  Readers hold a manifest, so later versions don't change what they see.
+A version is published by claiming to be the successor of the one that it is based on, which fails if that
+has one; the loser validates again.  So versions form one chain, whatever numbers writers choose.  Readers hold
+a manifest, so later versions don't change what they see.
 """
 
 from __future__ import annotations
 
+import json
 import threading
 import time
 import uuid
@@ -25,7 +27,7 @@ from tidemark.operators.reads import Bound
 from tidemark.sources.folder import Folder
 from tidemark.sources.manifest import DataFile, Manifest, TableDef, TableState
 
-VERSIONS = "versions"
+VERSIONS, HEADS = "versions", "heads"
 _PLAIN = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType)
 
 
@@ -86,7 +88,24 @@ class Store:
         return sorted(found) or [0]
 
     def latest_version(self) -> int:
-        return self.versions()[-1]
+        found = self.versions()[-1]
+        while (text := self.folder.read(self._head(found))) is not None:
+            claim = json.loads(text)  # by a writer that has gone no further yet
+            if not self.folder.exists(self._name(self._follow(claim))):
+                break  # both are lost, which is for recovery to mend
+            found = claim["version"]
+        return found
+
+    @staticmethod
+    def _head(base: int) -> str:
+        return f"{HEADS}/{base:012d}.json"
+
+    def _follow(self, claim: dict) -> int:
+        """Finish a publication from its claim on; the version."""
+        name = self._name(claim["version"])
+        if not self.folder.exists(name):
+            self.folder.settle(claim["manifest"], name)
+        return claim["version"]
 
     durable_version = latest_version
 
@@ -108,14 +127,24 @@ class Store:
         return f"{VERSIONS}/{version:012d}.json"
 
     def publish(self, manifest: Manifest) -> bool:
-        if manifest.version == 1 and not self.folder.exists(self._name(0)):
+        if manifest.base == 0 and not self.folder.exists(self._name(0)):
             self.folder.publish(self._name(0), Manifest().to_json())
-        made = self.folder.publish(self._name(manifest.version), manifest.to_json())
-        if made:
-            self._cached[manifest.version] = manifest
-            for hook in self.durable_hooks:
-                hook(manifest.version)
-        return made
+        if manifest.version <= manifest.base:
+            raise InvalidCommitVersion(f"{manifest.version} is not beyond {manifest.base}")
+        staged = self.folder.stage(self._name(manifest.version), manifest.to_json())
+        claim = {"version": manifest.version, "manifest": staged}
+        if self.versions()[-1] != manifest.base or not self.folder.publish(self._head(manifest.base), json.dumps(claim)):
+            self.folder.delete(staged)
+            return False
+        if self.versions()[-1] not in (manifest.base, manifest.version):  # the base was collected, and its successor's claim with it
+            self.folder.delete(self._head(manifest.base))
+            self.folder.delete(staged)
+            return False
+        self._follow(claim)
+        self._cached[manifest.version] = manifest
+        for hook in self.durable_hooks:
+            hook(manifest.version)
+        return True
 
     def on_durable(self, hook: Callable[[int], None]) -> None:
         self.durable_hooks.append(hook)
@@ -274,6 +303,7 @@ class Store:
             dropped = [self.manifest(v) for v in gone]
             for v in gone:
                 self.folder.delete(self._name(v))
+                self.folder.delete(self._head(v))
                 self._cached.pop(v, None)
             named = lambda ms: {p.split("/part-")[0] for m in ms for p in m.paths()}
             for path in named(dropped) - named(self.manifest(v) for v in every if v in keep):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.errors import DuplicateKey, DuplicateTableOpen, IndexAlreadyExists, IndexDdlConflict, IndexNotFound, IndexTypeMismatch
-from tidemark.errors import InvalidBulkLoad, KeyExhausted, KeyNotFound, SerializationFailure, TableNotFound, TidemarkError, TypeMismatch, WriteConflict
+from tidemark.errors import InvalidBulkLoad, InvalidCommitVersion, KeyExhausted, KeyNotFound, SerializationFailure, TableNotFound, TidemarkError, TypeMismatch, WriteConflict
 from tidemark.operators import index as ix
 from tidemark.operators import mutate, reads
 from tidemark.operators.index import CustomIndex, Index
@@ -591,6 +591,8 @@ class WriteTx:
             if len(state.deltas) >= self.store.config.compact_after:
                 state = self.store.compacted(state, n)
             tables[n] = state
-        version = self._version if self._version and self._version > latest.version else latest.version + 1
+        version = self._version or latest.version + 1
+        if version <= latest.version:
+            raise InvalidCommitVersion(f"{version} is not beyond {latest.version}")
         removed = sorted(n for n in self.removed if n in latest.tables)
         return Manifest(version, latest.version, tables, deltas, removed, [], indexed, {**latest.tokens, **self.tokens})
