@@ -9,6 +9,7 @@ import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import docs
 from tidemark.llm import bpe, kernels
@@ -74,6 +75,25 @@ def test_encode_and_decode_rows(spark):
     assert "lang" in bpe.encode(df).columns
 
 
+def test_bytes_that_are_not_utf8_are_encoded_as_they_are(spark):
+    rows = [(1, b"a\xff b"), (2, b"\xc3("), (3, b"\xed\xa0\x80 the"), (4, "caf\u00e9".encode()[:-1]), (5, None), (6, b"")]
+    df = spark.createDataFrame(rows, "doc_id long, b binary").select("doc_id", F.col("b").cast("string").alias("text"), F.lit("x").alias("a.b"))
+    got = bpe.decode(bpe.encode(df)).select("doc_id", F.hex("decoded").alias("h"), "n_tokens", "round_trip", "ids", "`a.b`").collect()
+    assert {r.doc_id: r.h and bytes.fromhex(r.h) for r in got} == {i: (b or None) and b for i, b in rows} | {6: ""}
+    assert all(r.round_trip for r in got if r.doc_id != 5)
+    pieces = bpe.codec(bpe.read_vocabulary()).table
+    assert all(b"".join(pieces[i] for i in r.ids) == b for r, (_, b) in zip(sorted(got, key=lambda r: r.doc_id), rows) if b)
+    counts = {r.doc_id: r.n_tokens for r in bpe.token_counts(df).collect()}
+    assert counts == {r.doc_id: r.n_tokens or 0 for r in got}
+
+
+def test_ids_outside_the_vocabulary_raise(spark):
+    for ids in ("array(-1)", "array(99999999)", "array(1, null)"):
+        with pytest.raises(Exception, match="id is"):
+            bpe.decode(spark.range(1).selectExpr(f"{ids} AS ids")).collect()
+    assert [r.decoded for r in bpe.decode(spark.sql("SELECT * FROM VALUES (array()), (null), (array(64)) AS t(ids)").selectExpr("cast(ids AS array<int>) AS ids")).collect()][:2] == ["", None]
+
+
 def test_counts_match_the_ids(spark):
     rng = random.Random(3)
     words = ["the", "thereofly", "x", "öäü", "n't", "\n", "zzzzqq", "  ", "1234567"]

@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm import kernels
+from tidemark.llm import common, kernels
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SLICE = 1 << 20
 CACHED = 100_000
+COUNTED = 2_000_000
 PORTION = 20_000
 
 
@@ -69,6 +70,11 @@ def model_proto(pieces: list[bytes]) -> bytes:
     return b"".join(out) + _field(2, trainer) + _field(3, normal)
 
 
+def _bytes(text: str) -> bytes:
+    """The bytes of a text or pre-token of a slice, those that are no UTF-8 too."""
+    return text.encode("utf-8", "surrogateescape")
+
+
 class Codec:
     """Encode pre-tokens and decode ids for one vocabulary."""
 
@@ -83,12 +89,14 @@ class Codec:
         self.table = np.full(ranked[-1][0] + 1, b"", object)
         self.table[self.ids[1:]] = self.pieces
         self.length = np.fromiter(map(len, self.table), np.int64, len(self.table))
+        self.flat = np.frombuffer(b"".join(self.table.tolist()), np.uint8)
+        self.start = np.cumsum(self.length) - self.length
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.pieces))
         self.signs = str.maketrans({b: s for b, s in enumerate(byte_signs())})
         self.kept: dict[str, bytes] = {}
 
     def _encoded(self, tokens: list[str]) -> list[list[int]]:
-        return self.model.encode([t.encode().decode("latin-1").translate(self.signs) for t in tokens], out_type=int, num_threads=1)
+        return self.model.encode([_bytes(t).decode("latin-1").translate(self.signs) for t in tokens], out_type=int, num_threads=1)
 
     def encode(self, tokens: list[str]) -> list[bytes]:
         """The ids of each pre-token, as the bytes of 32-bit numbers.  Frequent ones are kept."""
@@ -101,16 +109,23 @@ class Codec:
                 self.kept[t] = self.ids[found].tobytes()
         return [self.kept[t] for t in tokens]
 
+    def alone(self) -> bool:
+        """Whether each piece that is UTF-8 is encoded as itself, as it is where each merge's result ranks behind its parts."""
+        whole = [p for p in self.pieces if p.decode("utf-8", "ignore").encode() == p]
+        return all(self.count([p.decode() for p in whole[i : i + PORTION]]).max(initial=1) == 1 for i in range(0, len(whole), PORTION))
+
     def count(self, tokens: list[str]) -> np.ndarray:
         """The number of pieces of each pre-token."""
         return np.fromiter(map(len, self._encoded(tokens)), np.int64, len(tokens)) if tokens else np.zeros(0, np.int64)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes that ids stand for: each piece back from its rank, joined."""
-        ids = list(ids)
-        if ids and min(ids) < 0:
-            raise IndexError("an id is negative")
-        return b"".join(map(self.table.__getitem__, ids))
+        return self.decode_all(np.fromiter(ids, np.int64)).tobytes()
+
+    def decode_all(self, ids: np.ndarray) -> np.ndarray:
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.table)):
+            raise IndexError("an id is outside the vocabulary")
+        return self.flat[kernels.ragged(self.start[ids], self.length[ids])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -135,7 +150,7 @@ def encode_columns(text: pa.Array, packed: bytes) -> tuple[pa.Array, pa.Array, p
     """ids, their number and whether decoding gives the text back, for a column of texts."""
     bpe = codec(packed)
     ids, counts, same = [], [], []
-    for part in kernels.slices(text, SLICE):
+    for part in kernels.slices(text, SLICE, "surrogateescape"):
         tokens, _, inverse, start = distinct_pretokens(part)
         each = bpe.encode(tokens)
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
@@ -147,12 +162,12 @@ def encode_columns(text: pa.Array, packed: bytes) -> tuple[pa.Array, pa.Array, p
         at = edges[np.searchsorted(start, part.bounds)]
         ids.append(out)
         counts.append(np.diff(at))
-        back = b"".join(bpe.table[out].tolist())
-        if back == part.text.encode() and _aligned(part, out, at, bpe):
+        back = bpe.decode_all(out).tobytes()
+        if back == _bytes(part.text) and _aligned(part, out, at, bpe):
             same.append(np.ones(part.rows, bool))
         else:
             pairs = zip(at.tolist(), at[1:].tolist(), part.bounds.tolist(), part.bounds[1:].tolist())
-            same.append(np.array([bpe.decode(out[a:b].tolist()) == part.text[c:d].encode() for a, b, c, d in pairs], bool))
+            same.append(np.array([bpe.decode(out[a:b].tolist()) == _bytes(part.text[c:d]) for a, b, c, d in pairs], bool))
     counted = np.concatenate(counts) if counts else np.zeros(0, np.int64)
     offsets = np.zeros(len(counted) + 1, np.int32)
     np.cumsum(counted, out=offsets[1:])
@@ -167,7 +182,8 @@ def _aligned(part: kernels.Slice, out: np.ndarray, at: np.ndarray, bpe: Codec) -
     np.cumsum(bpe.length[out], out=total[1:])
     points = part.points
     wide = np.zeros(len(points) + 1, np.int64)
-    np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), out=wide[1:])
+    single = (points >= 0xDC80) & (points <= 0xDCFF)  # a byte that is no UTF-8
+    np.cumsum(np.where(single, 1, 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)), out=wide[1:])
     return bool(np.array_equal(total[at], wide[part.bounds]))
 
 
@@ -175,14 +191,15 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", pr
     """docs with the columns ids, n_tokens and round_trip.
 
     A null text has null ids, n_tokens and round_trip; an empty one has no ids and
-    round_trip true.  Repeated rows are encoded alike.  Columns of docs named as the new
+    round_trip true.  Bytes that aren't UTF-8 are encoded as they are.  Repeated rows are encoded alike.  Columns of docs named as the new
     ones are replaced by them unless `prefix` makes the new names differ.  Other columns pass.
     """
     packed = read_vocabulary(vocabulary)
     new = [f"{prefix}{f.name}" for f in ENCODED]
     kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in new}]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, f.dataType) for n, f in zip(new, ENCODED)])
-    at = kept.index(text)
+    plain = [f"c{i}" for i in range(len(kept) + len(new))]  # as mapInArrow takes no names with dots
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(plain, [*(docs.schema[c].dataType for c in kept), *(f.dataType for f in ENCODED)])])
+    at = [c.lower() for c in kept].index(text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,11 +211,11 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", pr
                 if absent.any():
                     mask = pa.array(absent)
                     lists, counts, same = (pa.compute.if_else(mask, pa.scalar(None, x.type), x) for x in (lists, counts, same))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, counts, same], names=[*kept, *new])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, counts, same], names=plain)
                 del part, column, lists, counts, same
                 pa.default_memory_pool().release_unused()  # else a worker holds on to its largest batches
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*[common.quoted(c).alias(p) for c, p in zip(kept, plain)]).mapInArrow(run, schema).toDF(*kept, *new)
 
 
 def _runs_of_rows(column: pa.Array, limit: int = 4 * SLICE) -> Iterator[tuple[int, int]]:
@@ -216,20 +233,31 @@ def decode(rows: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids", out:
     """rows with a column of the text that `ids` stand for.
 
     Null ids give null, no ids the empty text.  An id outside the vocabulary raises.
-    Bytes that form no UTF-8 (ids cut within a sign) become replacement signs.
+    The text has the very bytes that the ids stand for, also where they form no UTF-8 (a text that had none, ids cut within a sign).
     """
     packed = read_vocabulary(vocabulary)
     kept = [c for c in rows.columns if c.lower() != out.lower()]
-    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(out, T.StringType())])
+    plain = [f"c{i}" for i in range(len(kept) + 1)]
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(plain, [*(rows.schema[c].dataType for c in kept), T.StringType()])])
+    at = [c.lower() for c in kept].index(ids.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(packed)
         for batch in batches:
-            column = batch.column(kept.index(ids)).to_pylist()
-            texts = [None if x is None else bpe.decode(x).decode("utf-8", "replace") for x in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, out])
-
-    return rows.select(*kept).mapInArrow(run, schema)
+            column = batch.column(at)
+            taken = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            every = column.flatten()
+            if every.null_count:
+                raise IndexError("an id is null")
+            flat = every.to_numpy(zero_copy_only=False).astype(np.int64)
+            raw = bpe.decode_all(flat)
+            ends = np.concatenate([[0], np.cumsum(bpe.length[flat])])[np.cumsum(taken)]
+            offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes())
+            valid = pa.array(column.is_valid().to_numpy(zero_copy_only=False), pa.bool_()).buffers()[1]
+            texts = pa.Array.from_buffers(pa.string(), len(column), [valid, offsets, pa.py_buffer(raw.tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=plain)
+
+    return rows.select(*[common.quoted(c).alias(p) for c, p in zip(kept, plain)]).mapInArrow(run, schema).toDF(*kept, out)
 
 
 # --- token counts ---------------------------------------------------------------------------------
@@ -271,24 +299,28 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, buckets_per_part
 
     A null or empty text has 0 of both.  Repeated rows, also with equal ids, are counted each for
     itself, and a null doc_id is kept.  Other columns are not looked at.
+
+    A task's documents are known by their places in it, so docs that are more than a reading of files are written first: a task that
+    is repeated must meet the same rows in the same order.
     """
     spark = docs.sparkSession
     packed = read_vocabulary(vocabulary)
+    alone = codec(packed).alone()
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = width * buckets_per_partition
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rank = codec(packed).rank
+        rank = codec(packed).rank if alone else {}
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             column = batch.column(1)
-            for part in kernels.slices(column, 4 * SLICE):
+            for part in kernels.slices(column, 4 * SLICE, "surrogateescape"):
                 names = batch.column(0).slice(part.first, part.rows)
                 tokens, hashes, inverse, start = distinct_pretokens(part)
                 row = np.searchsorted(part.bounds, start, side="right") - 1
-                known = np.fromiter((t.encode() in rank for t in tokens), bool, len(tokens))
+                known = np.fromiter((_bytes(t) in rank for t in tokens), bool, len(tokens))
                 total = np.bincount(row, minlength=part.rows)
                 single = np.bincount(row[known[inverse]], minlength=part.rows)
                 # multi-piece tokens in the order of their buckets
@@ -303,7 +335,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, buckets_per_part
                 pair, times = np.unique(where[far] * part.rows + row[far], return_counts=True)
                 token, doc = pair // part.rows, pair % part.rows
                 length = np.bincount(token, minlength=len(many))
-                raw = [tokens[i].encode() for i in many.tolist()]
+                raw = [_bytes(tokens[i]) for i in many.tolist()]
                 size = np.fromiter(map(len, raw), np.int64, len(raw))
                 cuts = np.searchsorted(bucket, np.arange(buckets + 1))
                 edge = np.concatenate([[0], np.cumsum(length)])
@@ -337,8 +369,10 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, buckets_per_part
                 end = np.cumsum(size, dtype=np.int64)
                 flat = raw.tobytes()
                 tokens = [flat[a:b] for a, b in zip((end - size).tolist(), end.tolist())]
+                if len(pieces) > COUNTED:
+                    pieces.clear()
                 new = [t for t in tokens if t not in pieces]
-                pieces.update(zip(new, bpe.count([t.decode() for t in new]).tolist()))
+                pieces.update(zip(new, bpe.count([t.decode("utf-8", "surrogateescape") for t in new]).tolist()))
                 weight = np.fromiter(map(pieces.__getitem__, tokens), np.int64, len(tokens))
                 found = np.bincount(doc, weights=np.repeat(weight, length) * times, minlength=int(rows[0])).astype(np.int64)
                 if chunk in sums:
@@ -368,7 +402,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, buckets_per_part
             tokens = single.astype(np.int64) + sums.get(chunk, 0)
             yield pa.RecordBatch.from_arrays([ids, pa.array(total.astype(np.int64)), pa.array(tokens)], names=["doc_id", "n_pretokens", "n_tokens"])
 
-    first = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(frequencies, "bucket int, chunk long, body binary")
+    slim = common.steady(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    first = slim.mapInArrow(frequencies, "bucket int, chunk long, body binary")
     second = first.repartition(width, "bucket").mapInArrow(weigh, "chunk long, body binary")
     return second.repartition(width, "chunk").mapInArrow(finish, "doc_id long, n_pretokens long, n_tokens long")
 

@@ -103,8 +103,8 @@ def _spans(docs: DataFrame, benchmark: DataFrame, gram: int, window: int, broadc
     marks = common.maybe_broadcast(marks.select(F.col("rk").alias("irk"), F.col("pos").alias("ipos"), "fp"), broadcast_rows)
     hits = fingerprints(rows, gram, window).join(marks, "fp").groupBy("rk", "irk").agg(F.collect_set(F.col("pos") - F.col("ipos")).alias("shifts"))
     hits = common.cut(spark, hits)
-    pairs = hits.join(common.maybe_broadcast(items, broadcast_rows // 20), "irk")
-    pairs = rows.join(common.maybe_broadcast(pairs, broadcast_rows // 20), "rk")
+    pairs = hits.join(common.maybe_broadcast(items, broadcast_rows, 64 + F.octet_length("item_text")), "irk")
+    pairs = rows.join(common.maybe_broadcast(pairs, broadcast_rows, 64 + F.octet_length("item_text") + 8 * F.size("shifts")), "rk")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

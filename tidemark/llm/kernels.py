@@ -34,10 +34,11 @@ class Slice:
         return len(self.bounds) - 1
 
 
-def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[Slice]:
+def slices(column: pa.Array, limit: int = 1 << 20, errors: str = "replace") -> Iterator[Slice]:
     """Cut a string column into runs of rows of about `limit` bytes; null counts as empty.
 
-    A row longer than the limit is a slice of its own and is never split.
+    A row longer than the limit is a slice of its own and is never split.  Bytes that aren't UTF-8 become replacement
+    signs, or a code point of their own each with `errors` "surrogateescape", by which they can be had back.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -60,11 +61,11 @@ def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[Slice]:
                 raise UnicodeDecodeError("utf-8", b"", 0, 1, "lengths differ")
         except UnicodeDecodeError:  # Spark strings may hold bytes that aren't UTF-8
             offs = (offsets - offsets[0]).tolist()
-            rows = [str(raw[a:b], "utf-8", "replace") for a, b in zip(offs, offs[1:])]
+            rows = [str(raw[a:b], "utf-8", errors) for a, b in zip(offs, offs[1:])]
             text, lengths = "".join(rows), np.array([len(x) for x in rows], np.int64)
         bounds = np.zeros(len(lengths) + 1, np.int64)
         np.cumsum(lengths, out=bounds[1:])
-        yield Slice(first, text, np.frombuffer(text.encode("utf-32-le"), np.uint32), bounds)
+        yield Slice(first, text, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), bounds)
         first = last
 
 

@@ -28,7 +28,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict
     Rows without text or language are not used; no usable rows give no dictionaries.
     """
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    usable = docs.where("lang is not null and text is not null and length(text) > 0")
+    usable = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and length(text) > 0")
     chosen = usable.select("doc_id", "lang").where("doc_id is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("i"), F.col("lang").alias("l")))  # sample rows for each language
     texts = usable.join(chosen, (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l")), "left_semi")
@@ -58,9 +58,12 @@ class Compressors:
             d.precompute_compress(level=level)
             self.each.append(z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False))
 
-    def sizes(self, text: str, chunk: int = CHUNK) -> np.ndarray:
-        """Compressed bytes of the whole text with each language's dictionary, chunk by chunk."""
-        raw = text.lower().encode("utf-8", "replace")
+    def sizes(self, text: bytes, chunk: int = CHUNK) -> np.ndarray:
+        """Compressed bytes of the whole text with each language's dictionary, chunk by chunk.
+
+        Bytes that aren't UTF-8 count as replacement signs.
+        """
+        raw = text.decode("utf-8", "replace").lower().encode("utf-8")
         parts = [raw[i : i + chunk] for i in range(0, len(raw), chunk)]
         return np.array([sum(len(c.compress(p)) for p in parts) for c in self.each], np.int64)
 
@@ -88,8 +91,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
         tool = Compressors(dictionaries)
         for b in batches:
             found, share = [], []
-            for text in b.column(1):
-                k, m = decide(tool.sizes(text.as_py() or ""), margin, margin_bytes)
+            for text in b.column(1).cast(pa.binary()):
+                k, m = decide(tool.sizes(text.as_py() or b""), margin, margin_bytes)
                 found.append(tool.languages[k] if k >= 0 else UNKNOWN)
                 share.append(m)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string()), pa.array(share, pa.float64())], names=["doc_id", "language", "margin"])

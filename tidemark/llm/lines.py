@@ -108,10 +108,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame, shards: int) -> DataFrame:
-    """rk, doc_id, pos, h (the line's hash) and shard of each line that has more than white space."""
+    """rk, doc_id, pos, h (the line's hash) and shard of each line that has more than white space.
+
+    The shard is by another hash than h, so lines are told apart by 64 bits and those of the shard's number.
+    """
     lines = _keyed(docs).select("rk", "doc_id", F.posexplode("lines").alias("pos", "line")).where("line rlike '\\\\S'")
     h = F.xxhash64("line")
-    return lines.select("rk", "doc_id", "pos", h.alias("h")).withColumn("shard", F.pmod(F.shiftrightunsigned("h", 20), F.lit(shards)).cast("int"))
+    return lines.select("rk", "doc_id", "pos", h.alias("h"), F.pmod(F.xxhash64(F.lit(1), "line"), F.lit(shards)).cast("int").alias("shard"))
 
 
 def line_index(lines: DataFrame) -> DataFrame:
@@ -180,25 +183,24 @@ def _later(h: np.ndarray, rk: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return pos > first
 
 
-def dedup_lines(docs: DataFrame, max_lost: float = 1.0, shard_lines: int = SHARD_LINES, slice_probes: int = SLICE_PROBES, broadcast_rows: int = 200_000, copies: DataFrame | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, shard_lines: int = SHARD_LINES, slice_probes: int = SLICE_PROBES, broadcast_rows: int = 200_000, copies: DataFrame | None = None) -> DataFrame:
     """docs with each line kept at its first place in the corpus only, with the columns of docs.
 
-    Lines are what newlines part; the same are those whose bytes are.  The first place is in the
+    Lines are what newlines part; the same are those whose hashes and shards are, which for other bytes at 10^12 lines in 5 * 10^6
+    shards is to be expected for one pair in two hundred corpora.  The first place is in the
     row of the lowest doc_id (null last; then of the lowest row key), at the first such line.  Lines of white
     space are never removed.  A row that loses a line has its text joined again without it, and
-    n_chars, if docs has it, set to the new length.  Rows are never removed: one that loses
-    all its lines has an empty text.  With max_lost below 1, a row that would lose more than that share of its
-    lines (those with more than white space) to other rows is a copy of them rather than a text with some
-    repeated lines; it is left whole, for document dedup to decide.
+    n_chars, if docs has it (in any case), set to the new length.  Rows are never removed: one that loses
+    all its lines has an empty text.
 
-    With `copies`, the rk, group and keep of rows that are near copies of each other, that holds only for near copies: a row that would
-    lose more than max_lost of its lines to others of its group keeps these, and loses those that rows of other groups have
-    first.  Rows whose keep is false come after all others in the order of first places, as they will go.
+    With `copies`, the rk, group and keep of rows that are near copies of each other, a row keeps the lines that rows of its own group
+    have first: which of the copies stays is for document dedup to decide.  Rows whose keep is false come after all others in
+    the order of first places, as they will go.
 
     A null text stays null.  Rows that repeat id and text count as one row and stay alike.
     """
     spark = docs.sparkSession
-    rk, places, others, foreign, fresh = (common.fresh(docs, f"__tm_{c}") for c in ("rk", "gone", "other", "foreign", "new"))
+    rk, places, fresh = (common.fresh(docs, f"__tm_{c}") for c in ("rk", "gone", "new"))
     if copies is None:
         gone = repeated_lines(docs, shard_lines, slice_probes)
     else:
@@ -206,30 +208,17 @@ def dedup_lines(docs: DataFrame, max_lost: float = 1.0, shard_lines: int = SHARD
         group = common.maybe_broadcast(copies.select("rk", "group"), broadcast_rows)
         theirs = common.maybe_broadcast(copies.select(F.col("rk").alias("owner"), F.col("group").alias("theirs")), broadcast_rows)
         gone = repeated_lines(docs, shard_lines, slice_probes, late).join(group, "rk", "left").join(theirs, "owner", "left")
-        kin = ~F.col("later") & F.coalesce(F.col("group") == F.col("theirs"), F.lit(False))
-        gone = gone.withColumn("kin", F.col("other") & kin).select("rk", "pos", "other", "kin")
-    gone = gone.distinct().groupBy(F.col("rk").alias(rk))
-    if copies is None:
-        gone = gone.agg(F.collect_list("pos").alias(places), F.count_if("other").alias(others))
-    else:
-        gone = gone.agg(F.collect_list("pos").alias(places), F.count_if("kin").alias(others), F.collect_list(F.when(~F.col("kin"), F.col("pos"))).alias(foreign))
-    gone = common.cut(spark, gone)
-    keyed = docs.withColumn(rk, common.row_key()).join(common.maybe_broadcast(gone, broadcast_rows), rk, "left")
+        kin = F.col("other") & ~F.col("later") & (F.col("group") == F.col("theirs"))
+        gone = gone.where(~F.coalesce(kin, F.lit(False)))
+    gone = common.cut(spark, gone.groupBy(F.col("rk").alias(rk)).agg(F.collect_set("pos").alias(places)))
+    weight = 48 + 8 * F.size(places)
+    keyed = docs.withColumn(rk, common.row_key()).join(common.maybe_broadcast(gone, broadcast_rows, weight), rk, "left")
     lines = F.split("text", "\n")
-    lose, drop = F.col(places).isNotNull(), F.col(places)
-    if max_lost < 1:
-        real = F.size(F.filter(lines, lambda x: x.rlike(r"\S")))
-        few = F.col(others) <= F.lit(max_lost) * real
-        if copies is None:
-            lose = lose & few
-        else:
-            drop = F.when(few, F.col(places)).otherwise(F.col(foreign))
-            lose = lose & (F.size(drop) > 0)
-    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop))
+    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places))
     cut = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    out = keyed.withColumn(fresh, F.when(lose, cut))
-    new = {"text": F.coalesce(fresh, "text")}
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col(fresh).isNotNull(), F.length(fresh).cast(kind)).otherwise(F.col("n_chars"))
+    out = keyed.withColumn(fresh, F.when(F.col(places).isNotNull(), cut))
+    new = {common.named(docs, "text"): F.coalesce(fresh, "text")}
+    if chars := common.named(docs, "n_chars"):
+        kind = docs.schema[chars].dataType
+        new[chars] = F.when(F.col(fresh).isNotNull(), F.length(fresh).cast(kind)).otherwise(F.col(chars))
     return out.select(*(new[c].alias(c) if c in new else common.quoted(c) for c in docs.columns))

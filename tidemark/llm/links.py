@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 
 DAMPING = 0.85
-ROUNDS = 12
-LEAST_TRUST = 0.0
-MOST_DISTRUST = 1e-3
+#: A page goes if so large a share of its host's links, discounted by their distance, leads to blocked hosts,
+#: unless at least LEAST_BACKING, and more than that, of the links to its host comes from trusted ones.
+MOST_BAD_LINKS = 0.01
+LEAST_BACKING = 0.1
+TOLERANCE = 1e-7
 
 _HOST = r"(?i)^\s*(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/:?#\s]+)"
 _SITE = r"^(?:www\d?|m|mobile|amp|blog|blogs|news|old|en|de|es|fr)\.((?:[^.]+\.)+[^.]+)$"
@@ -39,74 +41,6 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """walk, host and score: personalised PageRank after `rounds` steps from the seeds (walk, host), for several walks at once.
-
-    Edges have walk, src, dst and weight.  Each step sends `damping` of a host's score along its links by weight and the
-    rest, as well as what hosts without links hold, back to the walk's seeds in equal parts.  A walk without seeds has no scores.
-    Each step is checkpointed, so its plan is that of one step and a lost executor costs no more than one.
-    """
-    spark = edges.sparkSession
-    total = edges.groupBy("walk", "src").agg(F.sum("weight").alias("out"))
-    steps = common.cut(spark, edges.join(total, ["walk", "src"]).select("walk", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out") * damping).alias("share")))
-    seeds = seeds.select("walk", "host").where("host is not null").distinct()
-    number = seeds.groupBy("walk").agg((1.0 / F.count("*")).alias("begun"))
-    start = common.cut(spark, seeds.join(F.broadcast(number), "walk").select("walk", "host", "begun"))  # a row for each walk
-    score = start.select("walk", "host", F.col("begun").alias("score"))
-    for _ in range(rounds):
-        moved = score.join(steps, ["walk", "host"]).groupBy("walk", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("score"))
-        kept = F.broadcast(moved.groupBy("walk").agg(F.sum("score").alias("kept")))  # a row for each walk
-        back = start.join(kept, "walk", "left").select("walk", "host", (F.col("begun") * (1 - F.coalesce("kept", F.lit(0.0)))).alias("score"))
-        score = common.cut(spark, moved.unionByName(back).groupBy("walk", "host").agg(F.sum("score").alias("score")))
-    return score
-
-
-def host_scores(pages: DataFrame, trusted: list[str], blocked: list[str], damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust and distrust of each host of the graph.
-
-    Trust flows from the trusted hosts along links; distrust flows from the blocked ones against
-    them, to the hosts that link there.  Each sums to 1 where it has seeds, else it is 0.
-    """
-    spark = pages.sparkSession
-    edges = common.cut(spark, host_edges(pages))
-    forward = edges.select(F.lit("trust").alias("walk"), "src", "dst", "weight")
-    against = edges.select(F.lit("distrust").alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    seeds = spark.createDataFrame([(w, h.lower()) for w, hosts in (("trust", trusted), ("distrust", blocked)) for h in hosts], "walk string, host string")
-    scores = propagate(forward.unionByName(against), seeds, damping, rounds)
-    none = F.lit(0.0)
-    bare = edges.select(F.explode(F.array("src", "dst")).alias("host")).select(F.lit("").alias("walk"), "host", none.alias("score"))
-    of = lambda walk: F.sum(F.when(F.col("walk") == walk, F.col("score")).otherwise(none)).alias(walk)
-    return scores.unionByName(bare).groupBy("host").agg(of("trust"), of("distrust"))
-
-
-def filter_urls(pages: DataFrame, trusted: list[str], blocked: list[str], least_trust: float = LEAST_TRUST, most_distrust: float = MOST_DISTRUST, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """page_id, host, trust, distrust and keep for each row of pages.
-
-    A page is kept if its host has at least `least_trust` and less than `most_distrust`, or more trust than
-    distrust.  Of two hosts without any score neither is dropped.
-
-    A URL without a host, a null or an empty one has null host and scores, and keep is false.  Null html has no links; a host
-    without any has scores of 0.
-    Repeated rows count each, and null page_ids are kept.  Columns besides page_id, url and html are not looked at.
-    """
-    scores = host_scores(pages, trusted, blocked, damping, rounds)
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"))
-    out = rows.join(common.maybe_broadcast(scores, 500_000), "host", "left")
-    of = {c: F.when(F.col("host").isNotNull(), F.coalesce(c, F.lit(0.0))) for c in ("trust", "distrust")}
-    out = out.select("page_id", "host", *[x.alias(c) for c, x in of.items()])
-    fine = (F.col("trust") >= least_trust) & ((F.col("distrust") < most_distrust) | (F.col("trust") > F.col("distrust")))
-    return out.withColumn("keep", F.coalesce(fine, F.lit(False)))
-
-
-# --- listed hosts and scores that don't depend on the size of the graph ----------------------------
-
-#: A page goes if so large a share of its host's links, discounted by their distance, leads to blocked hosts,
-#: unless at least LEAST_BACKING, and more than that, of the links to its host comes from trusted ones.
-MOST_BAD_LINKS = 0.01
-LEAST_BACKING = 0.1
-TOLERANCE = 1e-7
-
-
 def listed(hosts: DataFrame, names: list[str]) -> DataFrame:
     """The rows of hosts that are listed: a name without a dot is any label of a host but the last, one with a dot is the host or a domain above it."""
     labels = F.split("host", r"\.")
@@ -118,7 +52,11 @@ def listed(hosts: DataFrame, names: list[str]) -> DataFrame:
 
 
 def reach(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """walk, host and score: 1 for seeds (walk, host), for others `damping` times the mean of their links' scores by weight.
+    """walk, host and score: the part of the host's personalised PageRank that seeds (walk, host) hold.
+
+    The walk from a host goes on with chance `damping` along one of its links by weight, and stays at a seed once it is there; its PageRank,
+    summed up over the seeds, is 1 for a seed and for others `damping` times the mean of the scores that its links lead to.
+    It is found for all hosts at once by sending scores from the seeds back along the links.
 
     Edges have walk, src, dst and weight; links of a host to itself don't count, and hosts that reach no seed are left out.  A host's
     score depends on where its own links lead, not on the number of hosts or seeds.  Steps go on until no score changes by more than
@@ -142,14 +80,16 @@ def reach(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleranc
             return score
 
 
-def judge_urls(pages: DataFrame, trusted: list[str], blocked: list[str], most_bad_links: float = MOST_BAD_LINKS, least_backing: float = LEAST_BACKING, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+def filter_urls(pages: DataFrame, trusted: list[str], blocked: list[str], most_bad_links: float = MOST_BAD_LINKS, least_backing: float = LEAST_BACKING, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, trust, distrust and keep for each row of pages, with hosts listed as in `listed`.
 
     Distrust is the share of a host's links that lead to blocked hosts, trust that of the links to it which come from trusted ones, both
     discounted by distance as in reach.  Pages of blocked hosts always go, also if trusted.  Others go if their distrust is at
     least `most_bad_links`, unless trust is at least `least_backing` and more than distrust; hosts without scores stay.
 
-    URLs without a host, null html, repeated rows and null page_ids are treated as in filter_urls.
+    A URL without a host, a null or an empty one has null host and scores, and keep is false.  Null html has no links; a host
+    without any has scores of 0 unless it is listed.
+    Repeated rows count each, and null page_ids are kept.  Columns besides page_id, url and html are not looked at.
     """
     spark = pages.sparkSession
     edges = common.cut(spark, host_edges(pages))

@@ -17,12 +17,18 @@ BINS = 32
 PENALTY = 0.003
 THRESHOLD = 0.5
 _PREFIX = "__tidemark_quality_"
-NAMES = ("chars", "word_length", "distinct_words", "distinct_words_log", "upper", "digits", "signs", "bars", "shouts", "stops", "lines")
+NAMES = ("chars", "word_length", "distinct_words", "distinct_words_log", "upper", "digits", "signs", "bars", "shouts", "stops", "lines", "flagged")
+LEAST_ROWS = 40
+LEXICON = 64
+LEXICON_SHARE = 0.1
+LEXICON_LIFT = 20.0
 
 
-def with_statistics(docs: DataFrame, prefix: str = "") -> DataFrame:
+def with_statistics(docs: DataFrame, prefix: str = "", lexicon: tuple[str, ...] = ()) -> DataFrame:
     """docs with the statistics that rules look at; null and empty texts have zeros.
 
+    `flagged` is the share of words that are in `lexicon`, in lower case and as whole runs of letters and numbers.
+
     Words and counts pass through generators.  A projection would be merged with the rules and filters
     over it, and each of their mentions of a count would read the text again.
     """
@@ -46,6 +52,7 @@ def with_statistics(docs: DataFrame, prefix: str = "") -> DataFrame:
         "shouts": times("!") + times("?"),
         "stops": kept(".,;:"),
         "lines": times("\n"),
+        "flagged": F.regexp_count(F.lower(t), F.lit(_any_of(lexicon))) if lexicon else F.lit(0),
     }
     split = F.array_remove(F.split(t, r"[ \n\t\r]+"), "")
     rows = docs.select("*", F.inline(F.array(F.struct(split.alias(_PREFIX + "words")))))
@@ -57,11 +64,33 @@ def with_statistics(docs: DataFrame, prefix: str = "") -> DataFrame:
         "word_length": (of["n"] - of["words"] + 1) / words,
         "distinct_words": of["distinct"] / words,
         "distinct_words_log": F.log1p(of["distinct"]) / F.log1p(words),
-        **{k: of[k] / n for k in NAMES[4:]},
+        **{k: of[k] / n for k in NAMES[4:-1]},
+        "flagged": of["flagged"] / words,
     }
     return rows.select(*map(common.quoted, docs.columns), *[found[k].alias(prefix + k) for k in NAMES])
 
 
+def _any_of(words: tuple[str, ...]) -> str:
+    """A pattern for any of the words that no letter or number goes before or after; words are runs of these."""
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(words)) + r")(?![\p{L}\p{N}])"
+
+
+def lexicon(rows: DataFrame, most: int = LEXICON, share: float = LEXICON_SHARE, lift: float = LEXICON_LIFT) -> tuple[str, ...]:
+    """Words by which the toxic rows of `rows` (text and toxic, a boolean) are known.
+
+    They are in at least the given share of toxic rows, and in one `lift` times as large as that of the others; of more than `most`
+    words those with the largest ratio, then of the most toxic rows, then first in order, are taken.
+    """
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+    n = rows.agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("rest")).first()
+    if not n.toxic or not n.rest:
+        return ()
+    counts = rows.select("toxic", words.alias("word")).groupBy("word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("r"))
+    ratio = (F.col("t") / n.toxic) / ((F.col("r") + 1) / (n.rest + 1))
+    found = counts.withColumn("ratio", ratio).where((F.col("t") >= share * n.toxic) & (F.col("t") >= 5) & (F.col("ratio") >= lift))
+    return tuple(r.word for r in found.orderBy(F.desc("ratio"), F.desc("t"), "word").limit(most).collect())
+
+
 @dataclass(frozen=True)
 class Rule:
     """A conjunction of (statistic, whether above, bound)."""
@@ -89,6 +118,7 @@ class Ensemble:
     rules: list[Rule] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     intercept: float = 20.0
+    lexicon: tuple[str, ...] = ()
 
     def score(self, of: dict[str, Column]) -> Column:
         total = F.lit(float(self.intercept))
@@ -174,8 +204,8 @@ def lasso(z: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int =
 
 
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], penalty: float = PENALTY) -> Ensemble:
-    """An ensemble for the labels y (1 is good); labels of one kind alone give one that keeps all."""
-    if len(y) < 40 or len(np.unique(y)) < 2:
+    """An ensemble for the labels y (1 is good); labels of one kind alone, or fewer than LEAST_ROWS, give one without rules, which keeps every text that isn't empty."""
+    if len(y) < LEAST_ROWS or len(np.unique(y)) < 2:
         return Ensemble()
     rules: list[Rule] = []
     seen = set()
@@ -196,32 +226,36 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], penalty: float = PENALTY
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) -> Ensemble:
-    """An ensemble fitted to at most `sample` labelled rows, those of the lowest hash of doc_id.
+    """An ensemble fitted to at most `sample` labelled rows, those of the lowest hash of doc_id; a good one has quality and is not toxic.
 
-    Labels with null doc_id or quality are not used, nor are rows of docs without text.
+    Labels with null doc_id or quality are not used, nor are rows of docs without text; a null toxic, or none at all, counts as 0.  The
+    lexicon of the statistics is from the same rows.  With ids that repeat, the first rows by hash, id, label and statistics are taken.
     """
-    chosen = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("quality").cast("int").alias("y")).where("i is not null and y is not null")
-    chosen = F.broadcast(chosen.orderBy(F.xxhash64("i"), "i", "y").limit(sample))  # the documented bound
+    toxic = F.coalesce(F.col("toxic").cast("int") > 0, F.lit(False)) if common.named(labels, "toxic") else F.lit(False)
+    chosen = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("quality").cast("int").alias("q"), toxic.alias("toxic")).where("i is not null and q is not null")
+    chosen = F.broadcast(chosen.orderBy(F.xxhash64("i"), "i", "q", "toxic").limit(sample))  # the documented bound
     rows = docs.select(F.col("doc_id").cast("long").alias("i"), "text").where("text is not null").join(chosen, "i")
-    found = with_statistics(rows).select("i", "y", *NAMES).toPandas()
+    words = lexicon(rows)
+    found = with_statistics(rows, "", words).select("i", ((F.col("q") > 0) & ~F.col("toxic")).cast("int").alias("y"), *NAMES)
+    found = found.orderBy(F.xxhash64("i"), "i", "y", *NAMES).limit(sample).toPandas()
     found = found.sort_values(list(found.columns), kind="stable")
-    return fit(found[list(NAMES)].to_numpy(float), (found["y"].to_numpy() > 0).astype(int), list(NAMES), penalty)
+    model = fit(found[list(NAMES)].to_numpy(float), found["y"].to_numpy().astype(int), list(NAMES), penalty)
+    model.lexicon = words
+    return model
 
 
 def judged(docs: DataFrame, model: Ensemble, threshold: float) -> DataFrame:
     """docs with the columns score and keep, each name after _PREFIX."""
     of = {name: F.col(_PREFIX + name) for name in NAMES}
-    value = model.score(of)
-    if model.rules:
-        value = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(0.0)).otherwise(value)
-    rows = with_statistics(docs, _PREFIX).withColumn(_PREFIX + "score", value)
+    value = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(0.0)).otherwise(model.score(of))
+    rows = with_statistics(docs, _PREFIX, model.lexicon).withColumn(_PREFIX + "score", value)
     return rows.withColumn(_PREFIX + "keep", F.col(_PREFIX + "score") >= threshold)
 
 
 def score(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score (0 to 1, the chance of good quality) and keep for each row of docs.
+    """doc_id, score (0 to 1, the chance of good quality without toxicity) and keep for each row of docs.
 
-    Null and empty texts have score 0 and are not kept, unless the model has no rules and keeps all.  Repeated
+    Null and empty texts have score 0 and are not kept.  Repeated
     rows score alike; null ids are kept.  Columns besides doc_id and text are not looked at.
     """
     rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, threshold)

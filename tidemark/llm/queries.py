@@ -10,12 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, decontaminate, language, lines, links, quality, shards, simhash, sketches
 from tidemark.llm.common import table
 
-TRUSTED = ("tionsh.example.net", "blog.tionble.example.com", "www.ththes.example.net")
-BLOCKED = ("m.tiontion.example.com", "ththon.example.com", "m.ththin.example.org")
-
-#: Sites by name, under any prefix and ending: op3_url_lists.
-TRUSTED_SITES = ("tionsh", "tionble", "ththes")
-BLOCKED_SITES = ("casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x")
+#: Sites by name, under any prefix and ending.
+TRUSTED = ("tionsh", "tionble", "ththes")
+BLOCKED = ("casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +26,6 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = links.filter_urls(table(spark, sf_dir, "pages"), list(TRUSTED), list(BLOCKED))
-    return out.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
-
-
-def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = links.judge_urls(table(spark, sf_dir, "pages"), list(TRUSTED_SITES), list(BLOCKED_SITES))
     return out.withColumns({c: F.round(c, 4) for c in ("trust", "distrust")})
 
 
@@ -68,7 +60,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality, op2_bpe, op3_urls, op3_url_lists, op4_simhash, op5_token_counts, op6_language, op7_line_dedup, op8_decontamination, op9_shards, op10_fingerprints)
+    every = (op1_quality, op2_bpe, op3_urls, op4_simhash, op5_token_counts, op6_language, op7_line_dedup, op8_decontamination, op9_shards, op10_fingerprints)
     return {f.__name__: f for f in every}
 
 
@@ -110,13 +102,18 @@ SELECT doc_id, n_bytes, begun AS "start", least(begun // target, greatest(total
 OP10 = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 p AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS n FROM l WHERE {_BLANKLESS}),
-d AS (SELECT doc_id, strlen(line) AS size, ('0x' || left(md5(n || ':' || line), 15))::BIGINT AS digest FROM p),
-g AS (SELECT doc_id, count(*)::BIGINT AS n_paragraphs, list_sort(list(digest)) AS digests, min(struct_pack(a := -size, b := digest)).b AS anchor FROM d GROUP BY doc_id),
-v AS (SELECT *, lag(doc_id) OVER w AS version_of, lag(digests) OVER w AS earlier FROM g WINDOW w AS (PARTITION BY anchor ORDER BY doc_id))
-SELECT s.doc_id, v.version_of, coalesce(v.n_paragraphs, 0)::BIGINT AS n_paragraphs,
-       CASE WHEN v.earlier IS NOT NULL THEN array_to_string(list_filter(v.digests, lambda x: NOT list_contains(v.earlier, x)), ',') END AS added,
-       CASE WHEN v.earlier IS NOT NULL THEN array_to_string(list_filter(v.earlier, lambda x: NOT list_contains(v.digests, x)), ',') END AS removed
-FROM documents s LEFT JOIN v ON s.doc_id = v.doc_id
+d AS MATERIALIZED (SELECT doc_id, ('0x' || left(md5(n || ':' || line), 15))::BIGINT AS digest FROM p),
+g AS MATERIALIZED (SELECT doc_id, count(*)::BIGINT AS n_paragraphs, list_sort(list(digest)) AS digests FROM d GROUP BY doc_id),
+c AS (SELECT digest, {sketches.WEIGHT} // count(*) AS weight FROM d GROUP BY digest),
+t AS (SELECT doc_id, sum(weight) AS whole FROM d JOIN c USING (digest) GROUP BY doc_id),
+e AS (SELECT doc_id, weight, lag(doc_id) OVER (PARTITION BY digest ORDER BY doc_id) AS earlier FROM d JOIN c USING (digest)),
+v AS (SELECT doc_id, earlier, sum(weight) AS shared FROM e WHERE earlier IS NOT NULL GROUP BY ALL),
+b AS (SELECT doc_id, earlier AS version_of, shared FROM v QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, earlier DESC) = 1),
+w AS (SELECT g.doc_id, version_of, n_paragraphs, digests FROM g JOIN b ON g.doc_id = b.doc_id JOIN t ON g.doc_id = t.doc_id WHERE shared >= whole / {sketches.LEAST_SHARED}e0)
+SELECT s.doc_id, w.version_of, coalesce(a.n_paragraphs, 0)::BIGINT AS n_paragraphs,
+       CASE WHEN o.doc_id IS NOT NULL THEN array_to_string(list_filter(w.digests, lambda x: NOT list_contains(o.digests, x)), ',') END AS added,
+       CASE WHEN o.doc_id IS NOT NULL THEN array_to_string(list_filter(o.digests, lambda x: NOT list_contains(w.digests, x)), ',') END AS removed
+FROM documents s LEFT JOIN g a ON s.doc_id = a.doc_id LEFT JOIN w ON s.doc_id = w.doc_id LEFT JOIN g o ON o.doc_id = w.version_of
 """
 
 
@@ -124,46 +121,8 @@ def _host(url: str) -> str:
     return f"nullif(regexp_replace(lower(regexp_extract({url}, '{links._HOST}', 1)), '\\.$', ''), '')"
 
 
-def _walk(name: str, src: str, dst: str, seeds: tuple[str, ...]) -> list[str]:
-    """CTEs of links.propagate, a step each, from `seeds` along edges src -> dst."""
-    d = links.DAMPING
-    given = ", ".join(f"('{s}')" for s in dict.fromkeys(seeds))
-    out = [
-        f"{name}_s AS MATERIALIZED (SELECT host, 1e0 / count(*) OVER () AS begun FROM (VALUES {given}) AS x(host))",
-        f"{name}_e AS MATERIALIZED (SELECT {src} AS src, {dst} AS dst, weight / sum(weight) OVER (PARTITION BY {src}) AS share FROM edges)",
-        f"{name}_0 AS MATERIALIZED (SELECT host, begun AS score FROM {name}_s)",
-    ]
-    for i in range(links.ROUNDS):
-        moved = f"SELECT dst AS host, sum(score * share * {d}e0) AS score FROM {name}_{i} JOIN {name}_e ON host = src GROUP BY dst"
-        out.append(f"{name}_m{i} AS MATERIALIZED ({moved})")
-        back = f"SELECT host, begun * (1 - (SELECT coalesce(sum(score), 0) FROM {name}_m{i})) AS score FROM {name}_s"
-        out.append(f"{name}_{i + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT * FROM {name}_m{i} UNION ALL {back}) GROUP BY host)")
-    return out
-
-
 def _op3() -> str:
-    link = links._LINK.replace("'", "''")
-    steps = [
-        f"p AS MATERIALIZED (SELECT page_id, {_host('url')} AS host, coalesce(html, '') AS html FROM pages)",
-        f"l AS (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM p WHERE host IS NOT NULL)",
-        f"w AS MATERIALIZED (SELECT host AS src, coalesce({_host('link')}, host) AS dst, count(*)::DOUBLE AS weight FROM l GROUP BY ALL)",
-        "n AS (SELECT host AS src FROM p WHERE host IS NOT NULL UNION SELECT dst FROM w)",
-        f"u AS (SELECT src, regexp_extract(src, '{links._SITE}', 1) AS dst FROM n)",
-        "edges AS MATERIALIZED (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM w UNION ALL SELECT src, dst, 1e0 FROM u WHERE dst <> '' UNION ALL SELECT dst, src, 1e0 FROM u WHERE dst <> '') GROUP BY ALL)",
-        *_walk("t", "src", "dst", TRUSTED),
-        *_walk("b", "dst", "src", BLOCKED),
-    ]
-    t, b, n = "coalesce(t.score, 0)", "coalesce(b.score, 0)", links.ROUNDS
-    return f"""
-WITH {", ".join(steps)}
-SELECT p.page_id, p.host, CASE WHEN p.host IS NOT NULL THEN round({t}, 9) END AS trust, CASE WHEN p.host IS NOT NULL THEN round({b}, 9) END AS distrust,
-       p.host IS NOT NULL AND {t} >= {links.LEAST_TRUST}e0 AND ({b} < {links.MOST_DISTRUST!r} OR {t} > {b}) AS keep
-FROM p LEFT JOIN t_{n} t ON p.host = t.host LEFT JOIN b_{n} b ON p.host = b.host
-"""
-
-
-def _op3_lists() -> str:
-    """links.judge_urls with sites by name, by 150 steps of one recursion; 0.85 ** 150 is below 1e-10."""
+    """links.filter_urls with sites by name, by 150 steps of one recursion; 0.85 ** 150 is below 1e-10."""
     link = links._LINK.replace("'", "''")
     any_of = lambda names: f"regexp_matches('.' || host, '\\.({'|'.join(names)})\\.')"
     return f"""
@@ -174,14 +133,14 @@ n AS MATERIALIZED (SELECT host FROM p WHERE host IS NOT NULL UNION SELECT dst FR
 u AS (SELECT host AS src, regexp_extract(host, '{links._SITE}', 1) AS dst FROM n),
 e AS MATERIALIZED (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM w UNION ALL SELECT src, dst, 1e0 FROM u WHERE dst <> '' UNION ALL SELECT dst, src, 1e0 FROM u WHERE dst <> '') WHERE src <> dst GROUP BY ALL),
 a AS MATERIALIZED (SELECT host FROM n UNION SELECT src FROM e UNION SELECT dst FROM e),
-s AS MATERIALIZED (SELECT 'b' AS walk, host FROM a WHERE {any_of(BLOCKED_SITES)} UNION ALL SELECT 't', host FROM a WHERE {any_of(TRUSTED_SITES)} AND NOT {any_of(BLOCKED_SITES)}),
+s AS MATERIALIZED (SELECT 'b' AS walk, host FROM a WHERE {any_of(BLOCKED)} UNION ALL SELECT 't', host FROM a WHERE {any_of(TRUSTED)} AND NOT {any_of(BLOCKED)}),
 b AS (SELECT 'b' AS walk, src AS host, dst AS next, weight FROM e UNION ALL SELECT 't', dst, src, weight FROM e),
 m AS MATERIALIZED (SELECT walk, host, next, {links.DAMPING}e0 * weight / sum(weight) OVER (PARTITION BY walk, host) AS share FROM b WHERE (walk, host) NOT IN (SELECT (walk, host) FROM s)),
 r AS (SELECT walk, host, 1e0 AS score, 0 AS step FROM s UNION ALL
       SELECT walk, host, sum(score), step + 1 FROM (SELECT m.walk, m.host, r.score * m.share AS score, r.step FROM r JOIN m ON m.walk = r.walk AND m.next = r.host UNION ALL
                                                     SELECT r.walk, r.host, r.score, r.step FROM r JOIN s ON s.walk = r.walk AND s.host = r.host) WHERE step < 150 GROUP BY walk, host, step),
 f AS (SELECT host, coalesce(max(score) FILTER (walk = 't'), 0) AS trust, coalesce(max(score) FILTER (walk = 'b'), 0) AS distrust FROM r WHERE step = 150 GROUP BY host),
-o AS (SELECT page_id, p.host, coalesce(trust, 0) AS t, coalesce(distrust, 0) AS d, coalesce({any_of(BLOCKED_SITES).replace("|| host", "|| p.host")}, false) AS bad FROM p LEFT JOIN f ON p.host = f.host)
+o AS (SELECT page_id, p.host, coalesce(trust, 0) AS t, coalesce(distrust, 0) AS d, coalesce({any_of(BLOCKED).replace("|| host", "|| p.host")}, false) AS bad FROM p LEFT JOIN f ON p.host = f.host)
 SELECT page_id, host, CASE WHEN host IS NOT NULL THEN round(t, 4) END AS trust, CASE WHEN host IS NOT NULL THEN round(d, 4) END AS distrust,
        host IS NOT NULL AND NOT bad AND (d < {links.MOST_BAD_LINKS!r} OR (t >= {links.LEAST_BACKING!r} AND t > d)) AS keep
 FROM o
@@ -190,4 +149,4 @@ FROM o
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express: no model, tokenizer, compressor or SimHash is needed."""
-    return {"op3_urls": _op3(), "op3_url_lists": _op3_lists(), "op7_line_dedup": OP7, "op8_decontamination": OP8, "op9_shards": OP9, "op10_fingerprints": OP10}
+    return {"op3_urls": _op3(), "op7_line_dedup": OP7, "op8_decontamination": OP8, "op9_shards": OP9, "op10_fingerprints": OP10}

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, kernels
@@ -240,48 +239,60 @@ def _join(label: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> np.nda
     return forest(np.concatenate([*a, np.arange(len(label))]), np.concatenate([*b, label]), len(label))
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, hot_rows: int = common.HOT_ROWS) -> DataFrame:
     """node, root: the smallest member of each node's component, for links a, b.
 
-    Alternates large and small stars until nothing changes, cutting the lineage at each round.
+    Alternates large and small stars until nothing changes, cutting the lineage at each round.  A node's least neighbour is
+    an aggregate, which each task prepares for its own links, and goes back to the links by common.attach: no node's
+    links meet in one task, however many it has.
     Links of a node to itself and repeated ones don't matter.  Nodes that are roots themselves are left out.
     """
     spark = links.sparkSession
     now = common.cut(spark, _oriented(links.select("a", "b").where("a <> b")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = mark
+        before, total = mark, 2 * mark[0]
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.least("a", F.min("b").over(W.partitionBy("a")))
-        large = both.select("a", "b", least.alias("m")).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.select("a", "b", F.min("b").over(W.partitionBy("a")).alias("m"))
+        of = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = common.attach(both, of, "a", "n", hot_rows, total).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = common.cut(spark, large) if total > hot_rows else large
+        small = common.attach(large, large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "a", "n", hot_rows, total)
         small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         now = common.cut(spark, small)
-    raise RuntimeError("components did not settle")
 
 
 def _oriented(links: DataFrame) -> DataFrame:
     return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
-def assignments(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def _grouped(slim: DataFrame, distance: int, segments: int, group_rows: int, hot_rows: int) -> DataFrame:
+    """slim (rk, doc_id, sig, uid) with `first`, the doc_id, rk and uid of the group's first row, and `size`, for rows that have a sig.
+
+    Groups are found over distinct signatures; each signature has its first row and number of rows by an aggregate, so has each group.
+    """
+    spark = slim.sparkSession
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "rk", "uid"))
+    by_sig = common.cut(spark, slim.where("sig is not null").groupBy("sig").agg(first.alias("f"), F.count("*").alias("n")))
+    found = components(edges(by_sig.select("sig"), distance, segments, group_rows), hot_rows)
+    by_sig = common.cut(spark, by_sig.join(found, F.col("sig") == F.col("node"), "left").select("sig", "f", "n", F.coalesce("root", "sig").alias("root")))
+    groups = by_sig.groupBy("root").agg(F.min("f").alias("first"), F.sum("n").alias("size"), F.count("*").alias("sigs"))
+    of_sig = common.attach(by_sig.select("sig", "n", "root"), groups, "root", "sigs", hot_rows).drop("root")
+    return common.attach(slim.where("sig is not null"), common.cut(spark, of_sig), "sig", "n", hot_rows)
+
+
+def assignments(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, group_rows: int = GROUP_ROWS, hot_rows: int = common.HOT_ROWS) -> DataFrame:
     """rk, doc_id, group_id, group_size and keep for each row of docs."""
-    spark = docs.sparkSession
-    slim = common.cut(spark, with_signatures(docs))
-    links = edges(slim.where("sig is not null").select("sig").distinct(), distance, segments, group_rows)
-    found = components(links)
-    named = slim.where("sig is not null").join(found, F.col("sig") == F.col("node"), "left").select("rk", "doc_id", F.coalesce("root", "sig").alias("root"))
-    group = W.partitionBy("root")
-    first = group.orderBy(F.col("doc_id").asc_nulls_last(), "rk")
-    grouped = named.select("rk", "doc_id", F.first("doc_id").over(first).alias("group_id"), F.count("*").over(group).alias("group_size"), (F.row_number().over(first) == 1).alias("keep"))
+    slim = common.cut(docs.sparkSession, with_signatures(docs).withColumn("uid", F.monotonically_increasing_id()))
+    grouped = _grouped(slim, distance, segments, group_rows, hot_rows)
+    grouped = grouped.select("rk", "doc_id", F.col("first.doc_id").alias("group_id"), F.col("size").alias("group_size"), (F.col("first.uid") == F.col("uid")).alias("keep"))
     alone = slim.where("sig is null").select("rk", "doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
     return grouped.unionByName(alone)
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, group_rows: int = GROUP_ROWS, hot_rows: int = common.HOT_ROWS) -> DataFrame:
     """doc_id, group_id, group_size and keep for each row of docs.
 
     Rows whose SimHashes differ in at most `distance` of 128 bits are linked, and linked rows form a
@@ -292,18 +303,14 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: int = S
     row is kept only if its group has no other, and group_id is null if all are.  Of rows that
     repeat id and text, one is kept.  Columns besides doc_id and text are not looked at.
     """
-    return assignments(docs, distance, segments, group_rows).drop("rk")
+    return assignments(docs, distance, segments, group_rows, hot_rows).drop("rk")
 
 
-def copies(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def copies(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, group_rows: int = GROUP_ROWS, hot_rows: int = common.HOT_ROWS) -> DataFrame:
     """rk, group and keep of each distinct row that is in a group of near_duplicates with others; group is the rk of the one to keep."""
     spark = docs.sparkSession
-    slim = common.cut(spark, with_signatures(docs).where("sig is not null").distinct())
-    found = components(edges(slim.select("sig").distinct(), distance, segments, group_rows))
-    named = slim.join(found, F.col("sig") == F.col("node"), "left").select("rk", "doc_id", F.coalesce("root", "sig").alias("root"))
-    group = W.partitionBy("root")
-    first = F.first("rk").over(group.orderBy(F.col("doc_id").asc_nulls_last(), "rk"))
-    rows = named.select("rk", first.alias("group"), F.count("*").over(group).alias("n")).where("n > 1")
+    slim = common.cut(spark, with_signatures(docs).where("sig is not null").distinct().withColumn("uid", F.lit(0)))
+    rows = _grouped(slim, distance, segments, group_rows, hot_rows).where("size > 1").select("rk", F.col("first.rk").alias("group"))
     return common.cut(spark, rows.select("rk", "group", (F.col("rk") == F.col("group")).alias("keep")))
 
 

@@ -2,41 +2,37 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, kernels
 
 CELLS = 48
 GROWTH = 4
+LEAST_SHARED = 10
+WEIGHT = 1 << 40
 _HASHES = 3
 _CHECK = np.uint64(0x3C6EF372FE94F82B)
-_BLANK = " \t\n\v\f\r"
+_BATCH = 1 << 24
 
 
-def digests(text: str | None) -> tuple[np.ndarray, int | None]:
-    """60-bit digests of a text's paragraphs, and that of its longest one.
+def with_digests(docs: DataFrame) -> DataFrame:
+    """rk, doc_id and the 60-bit digests of the paragraphs of each row.
 
-    Paragraphs are lines with more than white space.  The n-th of equal ones counts as "n:" and
-    its text, so digests are distinct.  Of equally long ones (in bytes) the least digest is taken.
+    Paragraphs are lines with more than white space.  The n-th of equal ones counts as "n:" and its text, so digests are distinct.
+    A row's lines are sorted and numbered within the row.
     """
-    seen: dict[str, int] = {}
-    out, best = [], (1, 0)
-    for line in (text or "").split("\n"):
-        if not line.strip(_BLANK):
-            continue
-        seen[line] = n = seen.get(line, 0) + 1
-        raw = line.encode("utf-8", "replace")
-        d = int(hashlib.md5(b"%d:%b" % (n, raw)).hexdigest()[:15], 16)
-        out.append(d)
-        best = min(best, (-len(raw), d))
-    return np.array(out, np.uint64), best[1] if out else None
+    slim = docs.select(common.row_key().alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), F.array_sort(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))).alias("l"))
+    rows = slim.select("rk", "doc_id", F.inline(F.array(F.struct(F.coalesce("l", F.array().cast("array<string>")).alias("l")))))
+    starts = F.filter(F.sequence(F.lit(0), F.size("l")), lambda i: (i < F.size("l")) & ((i == 0) | ~F.get("l", i).eqNullSafe(F.get("l", i - 1))))
+    rows = rows.select("rk", "doc_id", "l", F.inline(F.array(F.struct(starts.alias("s")))))
+    digest = lambda n, line: F.conv(F.substring(F.md5(F.concat(n.cast("string"), F.lit(":"), line)), 1, 15), 16, 10).cast("long")
+    run = lambda at, k: F.transform(F.sequence(F.lit(1), F.coalesce(F.get("s", k + 1), F.size("l")) - at), lambda n: digest(n, F.get("l", at)))
+    return rows.select("rk", "doc_id", F.flatten(F.transform("s", run)).alias("digests"))
 
 
 class Sketch:
@@ -72,6 +68,17 @@ class Sketch:
     def to_bytes(self) -> bytes:
         return self.count.tobytes() + self.key.tobytes() + self.check.tobytes()
 
+    @classmethod
+    def of_rows(cls, d: np.ndarray, row: np.ndarray, rows: int, cells: int) -> list[bytes]:
+        """The sketches of many rows: digest d[i] is of row row[i]."""
+        count, key, check = np.zeros(rows * cells, np.int32), np.zeros(rows * cells, np.uint64), np.zeros(rows * cells, np.uint32)
+        at = (cls.places(d, cells) + row * cells).ravel()
+        np.add.at(count, at, 1)
+        np.bitwise_xor.at(key, at, np.tile(d, _HASHES))
+        np.bitwise_xor.at(check, at, np.tile(cls.check_of(d), _HASHES))
+        parts = zip(count.reshape(rows, cells), key.reshape(rows, cells), check.reshape(rows, cells))
+        return [a.tobytes() + b.tobytes() + c.tobytes() for a, b, c in parts]
+
     @classmethod
     def from_bytes(cls, raw: bytes) -> Sketch:
         n = len(raw) // 16
@@ -102,21 +109,20 @@ class Sketch:
         return None if count.any() or key.any() or check.any() else (sorted(plus), sorted(minus))
 
 
-def fingerprints(docs: DataFrame, cells: int = CELLS) -> DataFrame:
-    """rk, doc_id, n_paragraphs, anchor (the longest paragraph's digest, null if there is none) and sketch of each row."""
+def with_sketches(rows: DataFrame, cells: int = CELLS) -> DataFrame:
+    """rk and sketch of each row (rk, digests)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            number, anchor, raw = [], [], []
-            for text in b.column(2):
-                d, longest = digests(text.as_py())
-                number.append(len(d))
-                anchor.append(longest)
-                raw.append(Sketch.of(d, cells).to_bytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(number, pa.int64()), pa.array(anchor, pa.int64()), pa.array(raw, pa.binary())], names=["rk", "doc_id", "n_paragraphs", "anchor", "sketch"])
+        step = max(1, _BATCH // (16 * cells))
+        for whole in batches:
+            for first in range(0, whole.num_rows, step):
+                b = whole.slice(first, step)
+                n = pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+                d = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+                raw = Sketch.of_rows(d, np.repeat(np.arange(len(n)), n), len(n), cells)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["rk", "sketch"])
 
-    slim = docs.select(common.row_key().alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return slim.mapInArrow(run, "rk long, doc_id long, n_paragraphs long, anchor long, sketch binary")
+    return rows.select("rk", "digests").mapInArrow(run, "rk long, sketch binary")
 
 
 def _peeled(pairs: DataFrame, names: list[str]) -> DataFrame:
@@ -138,45 +144,102 @@ def _peeled(pairs: DataFrame, names: list[str]) -> DataFrame:
     return pairs.select(*names, "sketch", "before").mapInArrow(run, schema)
 
 
-def version_changes(docs: DataFrame, cells: int = CELLS, rounds: int = 12, broadcast_rows: int = 500_000) -> DataFrame:
+_LAG = "rk long, n long, own long, shared long, rk0 long, doc0 long, part int, edge int, digest long, doc long"
+
+
+def _lagged(held: DataFrame) -> DataFrame:
+    """For each paragraph of the sorted rows of `held` (digest, absent, doc_id, rk, n): rk, own (its weight), and shared, rk0 and doc0 of the row that has it before.
+
+    The first and last rows of a partition are marked by edge 1 and 2.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, last = TaskContext.get().partitionId(), None
+        names = [x.split()[0] for x in _LAG.split(", ")]
+        kinds = [pa.int32() if x.endswith(" int") else pa.int64() for x in _LAG.split(", ")]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            digest, rk, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("digest", "rk", "n"))
+            doc = b.column("doc_id")
+            own = WEIGHT // n
+            before = [pa.nulls(1, pa.int64()) if last is None else pa.array([last[k]], pa.int64()) for k in (0, 1)]
+            rk0 = pa.concat_arrays([before[0], b.column("rk").slice(0, len(rk) - 1)])
+            doc0 = pa.concat_arrays([before[1], doc.slice(0, len(rk) - 1)])
+            same = np.append(last is not None and last[2] == digest[0], digest[1:] == digest[:-1])
+            gone = pa.array(~same)
+            edge = np.zeros(len(rk), np.int32)
+            edge[0] = last is None
+            none = pa.scalar(None, pa.int64())
+            pick = lambda x: pa.compute.if_else(gone, none, x)
+            columns = [b.column("rk"), np.ones(len(rk), np.int64), own, np.where(same, own, 0), pick(rk0), pick(doc0), np.full(len(rk), part, np.int32), edge, digest, doc]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            last = (int(rk[-1]), doc[len(rk) - 1].as_py(), int(digest[-1]))
+        if last is not None:
+            row = [last[0], 0, 0, 0, None, None, part, 2, last[2], last[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=names)
+
+    return held.select("digest", "absent", "doc_id", "rk", "n").mapInArrow(run, _LAG)
+
+
+def versions(rows: DataFrame, least_shared: int = LEAST_SHARED, hot_rows: int = common.HOT_ROWS) -> DataFrame:
+    """rk, rk0 and version_of for each of the rows (rk, doc_id, digests; rk once each) that is a later version of another.
+
+    A paragraph that k rows have weighs WEIGHT // k, and belongs to the row before in order of doc_id (null last, then rk) that has it.
+    The row to which most of a row's weight belongs (of equals the last in that order) is its earlier version, if that is
+    one `least_shared`-th of the whole at least.
+
+    Paragraphs are sorted over all partitions, so those that very many rows have are spread over several; only the ends of partitions
+    come to the driver.
+    """
+    spark = rows.sparkSession
+    every = rows.select("rk", "doc_id", F.explode("digests").alias("digest"))
+    common_ones = every.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = common.attach(every, common_ones.withColumn("size", F.col("n")), "digest", "size", hot_rows).withColumn("absent", F.col("doc_id").isNull())
+    order = ["digest", "absent", "doc_id", "rk"]
+    ranged = repeated.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order)
+    found = common.cut(spark, _lagged(ranged))
+    ends = sorted(found.where("edge > 0").collect(), key=lambda r: (r.part, r.edge))  # two rows for each partition
+    crossed = [(b.rk, 0, 0, b.own, a.rk, a.doc) for a, b in zip(ends, ends[1:]) if a.edge == 2 and b.edge == 1 and a.digest == b.digest]
+    slim = found.select("rk", "n", "own", "shared", "rk0", "doc0")
+    if crossed:
+        slim = slim.unionByName(spark.createDataFrame(crossed, slim.schema))
+    by_pair = slim.groupBy("rk", "rk0", "doc0").agg(*[F.sum(c).alias(c) for c in ("n", "own", "shared")])
+    best = F.max(F.when(F.col("shared") > 0, F.struct("shared", F.col("doc0").isNull().alias("absent"), "doc0", "rk0"))).alias("best")
+    by_row = by_pair.groupBy("rk").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), best).where("best is not null")
+    sized = by_row.join(rows.select("rk", F.size("digests").alias("all")), "rk")
+    whole = F.col("own") + (F.col("all") - F.col("n")) * F.lit(WEIGHT)
+    return sized.where(F.col("best.shared") >= whole / least_shared).select("rk", F.col("best.rk0").alias("rk0"), F.col("best.doc0").alias("version_of"))
+
+
+def version_changes(docs: DataFrame, cells: int = CELLS, broadcast_rows: int = 500_000, least_shared: int = LEAST_SHARED, hot_rows: int = common.HOT_ROWS) -> DataFrame:
     """doc_id, version_of, n_paragraphs, added and removed for each row of docs.
 
-    Rows whose longest paragraph is the same are versions of one text, in order of doc_id; version_of
-    is the doc_id of the one before.  The difference of the two sketches is peeled to the digests of
+    version_of is the doc_id of the earlier row that shares most of the row's paragraphs, rare ones above all, as `versions` says.
+    The difference of the two rows' sketches is peeled to the digests of
     paragraphs that only the later (added) or only the earlier (removed) has.  Pairs whose
-    peeling fails get sketches of four times the cells, again and again until all are
-    recovered; only their rows are read again.
+    peeling fails get sketches of four times the cells, again and again until all are recovered.
 
-    The first version has null version_of, added and removed, as has a row without paragraphs (null or empty
+    A row that shares too little with any earlier one has null version_of, added and removed, as has a row without paragraphs (null or empty
     text), which is nobody's version.  Null doc_ids come last in order, and a version_of may then be
-    null with added and removed given.  Rows that repeat id and text are versions that differ in nothing.
+    null with added and removed given.  Rows that repeat id and text count as one and have the same result.
     Digests are sorted.  Columns besides doc_id and text are not looked at.
     """
     spark = docs.sparkSession
-    order = W.partitionBy("anchor").orderBy(F.col("doc_id").asc_nulls_last(), "rk")
-    lagged = fingerprints(docs, cells).where("anchor is not null")
-    for new, old in (("version_of", "doc_id"), ("rk0", "rk"), ("before", "sketch")):
-        lagged = lagged.withColumn(new, F.lag(old).over(order))
-    names = ["rk", "rk0", "doc_id", "version_of", "n_paragraphs"]
-    bare = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))
-    nothing = F.lit(None).cast("array<bigint>")
-    bare = bare.select("doc_id", F.lit(None).cast("long").alias("version_of"), F.lit(0).cast("long").alias("n_paragraphs"), nothing.alias("added"), nothing.alias("removed"))
-    tried = common.cut(spark, _peeled(lagged, names))
-    out = [bare, tried.where("rk0 is null or added is not null").select(*bare.columns)]
-    left = tried.where("rk0 is not null and added is null").select(*names)
-    while not left.isEmpty():
-        rounds -= 1
-        if rounds < 0:
-            raise RuntimeError("sketches could not be peeled")
-        cells *= GROWTH
+    held = common.cut(spark, with_digests(docs))
+    rows = held.where("size(digests) > 0").dropDuplicates(["rk"])
+    pairs = common.cut(spark, versions(rows, least_shared, hot_rows))
+    left, out = pairs, None
+    while out is None or not left.isEmpty():
         keys = left.select("rk").unionByName(left.select(F.col("rk0").alias("rk"))).distinct()
-        again = docs.withColumn("__tm_rk", common.row_key()).join(common.maybe_broadcast(keys.withColumnRenamed("rk", "__tm_rk"), broadcast_rows), "__tm_rk", "left_semi")
-        larger = common.cut(spark, fingerprints(again, cells).select("rk", "sketch").dropDuplicates(["rk"]))
-        pairs = left.join(larger, "rk").join(larger.select(F.col("rk").alias("rk0"), F.col("sketch").alias("before")), "rk0")
-        tried = common.cut(spark, _peeled(pairs, names))
-        out.append(tried.where("added is not null").select(*bare.columns))
-        left = tried.where("added is null").select(*names)
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
-    return result
+        sketched = with_sketches(rows.join(common.maybe_broadcast(keys, broadcast_rows), "rk", "left_semi"), cells)
+        now = left.join(sketched, "rk").join(sketched.select(F.col("rk").alias("rk0"), F.col("sketch").alias("before")), "rk0")
+        tried = common.cut(spark, _peeled(now, ["rk", "rk0", "version_of"]))
+        done = tried.where("added is not null").select("rk", "version_of", "added", "removed")
+        out = done if out is None else out.unionByName(done)
+        left = tried.where("added is null").select("rk", "rk0", "version_of")
+        cells *= GROWTH
+    result = held.select("rk", "doc_id", F.size("digests").cast("long").alias("n_paragraphs")).join(out, "rk", "left")
+    return result.select("doc_id", "version_of", "n_paragraphs", "added", "removed")
