@@ -71,8 +71,12 @@ def with_statistics(docs: DataFrame, prefix: str = "", lexicon: tuple[str, ...]
 
 
 def _any_of(words: tuple[str, ...]) -> str:
-    """A pattern for any of the words that no letter or number goes before or after; words are runs of these."""
-    return r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(words)) + r")(?![\p{L}\p{N}])"
+    """A pattern for any of the words that no letter or number goes before or after; words are runs of these.
+
+    A sign that no word starts with is passed over at once, and one within a word before any word is tried.
+    """
+    starts = "".join(sorted({w[0] for w in words}))
+    return f"(?=[{starts}])" + r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(words)) + r")(?![\p{L}\p{N}])"
 
 
 def lexicon(rows: DataFrame, most: int = LEXICON, share: float = LEXICON_SHARE, lift: float = LEXICON_LIFT) -> tuple[str, ...]:
