@@ -28,6 +28,7 @@ from tidemark.sources.folder import Folder
 from tidemark.sources.manifest import DataFile, Manifest, TableDef, TableState
 
 VERSIONS, HEADS = "versions", "heads"
+FILE_BYTES, MOST_FILES = 512 << 20, 1_000_000
 _PLAIN = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType)
 
 
@@ -211,17 +212,36 @@ class Store:
         """Write rows, in files of key ranges, and return the files with their bounds."""
         name = f"data/{table}/{uuid.uuid4().hex}"
         if ranged:
-            df = df.repartitionByRange(*[F.col(c) for c in key])
+            n = self._files_for(df)
+            df = df.repartitionByRange(*([n] if n else []), *[F.col(c) for c in key])
         df.sortWithinPartitions(*key).write.parquet(self.folder.path(name))
         return self.described(name, df.schema, key)
 
+    def _files_for(self, df: DataFrame) -> int | None:
+        """How many files of about FILE_BYTES the rows take by the planner's estimate, where the session's shuffle partitions are too few."""
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        n = size // FILE_BYTES
+        return n if int(self.spark.conf.get("spark.sql.shuffle.partitions")) < n <= MOST_FILES else None
+
     def described(self, name: str, schema: T.StructType, key: Sequence[str]) -> list[DataFile]:
+        """Rows and bounds of each file: from the footers of local ones, else by a scan of the key column."""
         plain = isinstance(schema[key[0]].dataType, _PLAIN)
+        if self.folder.local:
+            return [self._footer(f"{name}/{n}", key[0], plain) for n in self.folder.names(name) if n.endswith(".parquet")]
         rows = self.spark.read.schema(schema).parquet(self.folder.path(name))
         bounds = (F.min(key[0]), F.max(key[0])) if plain else (F.lit(None), F.lit(None))
         found = rows.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n"), bounds[0].alias("low"), bounds[1].alias("high")).collect()  # a row for each file
         return sorted((DataFile(f"{name}/{r.f}", r.n, r.low, r.high) for r in found), key=lambda x: x.path)
 
+    def _footer(self, path: str, column: str, plain: bool) -> DataFile:
+        import pyarrow.parquet as pq
+
+        m = pq.ParquetFile(self.folder._p(path)).metadata
+        at = next(i for i in range(m.num_columns) if m.schema.column(i).path == column) if plain else -1
+        found = [m.row_group(g).column(at).statistics for g in range(m.num_row_groups)] if plain else []
+        bounded = bool(found) and all(s is not None and s.has_min_max for s in found)
+        return DataFile(path, m.num_rows, min(s.min for s in found) if bounded else None, max(s.max for s in found) if bounded else None)
+
     def write_delta(self, changes: DataFrame, table: str) -> str:
         name = f"data/{table}/{uuid.uuid4().hex}"
         changes.write.parquet(self.folder.path(name))
