@@ -1,5 +1,7 @@
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -60,6 +62,27 @@ def test_search_matches_the_formula(spark, tmp_path):
             assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
 
 
+def test_terms_are_counted_without_python_workers(spark, monkeypatch):
+    """The workers' memory grew with the rows of a batch and their texts."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("red green blue Rust go and the x1 東京都 é".split(), k=n)) for n in (0, 1, 2, 7, 40, 5000)] + [None, "", " .", "go go go", "Red, red; RED!"]
+    rows = [(i, j % 3, t) for i, t in enumerate(texts) for j in range(2)] + [(None, 0, "red")]  # keys may repeat, as rows do
+    df = spark.createDataFrame(rows, "a int, b int, t string").repartition(3)
+    want = Counter()
+    for a, b, t in rows:
+        terms = re.findall(r"\w+", (t or "").lower())
+        want.update((a, b, len(terms), w, n) for w, n in Counter(terms).items())
+    monkeypatch.setattr(spark.sparkContext, "pythonExec", "/no/python")
+    found = fulltext.term_frequencies(df, ("a", "b"), F.col("t"))
+    assert [(f.name, f.dataType.simpleString()) for f in found.schema] == [("a", "int"), ("b", "int"), ("dl", "int"), ("term", "string"), ("tf", "bigint"), ("first", "boolean")]
+    got = found.collect()
+    assert Counter((r.a, r.b, r.dl, r.term, r.tf) for r in got) == want
+    firsts = Counter((r.a, r.b) for r in got if r.first)
+    assert firsts == Counter((a, b) for a, b, t in rows if re.search(r"\w", t or ""))
+    built = fulltext.TextIndex.build(df, ("a", "b"), F.col("t")).unindex(df.where("a = 10"))
+    assert {r.a for r in built.search("red").collect()} == {a for a, _, t in rows if a != 10 and "red" in (t or "").split()}
+
+
 def test_a_table_has_its_index(spark, tmp_path):
     from tidemark.sources.texts import TableTextIndex
 

@@ -7,16 +7,12 @@ reads the postings of the query's terms.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.text import query_tokens, tokens
 from tidemark.operators.reads import Key
@@ -35,30 +31,22 @@ class Bm25:
         return idf * tf * F.lit(self.k1 + 1) / (tf + F.lit(self.k1) * (F.lit(1 - self.b) + F.lit(self.b) * dl * n / total))
 
 
-_COUNTED = "dl int, term string, tf long, first boolean"
-
-
 def term_frequencies(df: DataFrame, key: Key, text: Column) -> DataFrame:
     """The key, dl (tokens of the document), term, tf and whether it is the document's first term here, for each term of each row.
 
-    Tokens are counted for each Arrow batch at once, where a row has all of its own, so nothing is shuffled.
+    A row's tokens are sorted, and each run of equal ones counted, within the row: nothing is shuffled, and no Python worker holds a batch of texts.
     """
-    rows = df.select(*key, tokens(text).alias("__t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            dl = pc.list_value_length(b.column("__t")).to_numpy(zero_copy_only=False)
-            flat = b.column("__t").flatten().dictionary_encode()
-            size = max(1, len(flat.dictionary))
-            pair, tf = np.unique(np.repeat(np.arange(len(dl)), dl) * size + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
-            row = pair // size
-            first = np.append(True, row[1:] != row[:-1])[: len(row)]
-            of = pa.array(row)
-            found = [pa.array(dl[row], pa.int32()), flat.dictionary.take(pa.array(pair % size)), pa.array(tf, pa.int64()), pa.array(first)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in key), *found], names=[*key, *(c.split()[0] for c in _COUNTED.split(", "))])
-
-    schema = T.StructType([*(rows.schema[c] for c in key), *T.StructType.fromDDL(_COUNTED)])
-    return rows.mapInArrow(run, schema)
+    t, s = F.col("__t"), F.col("__s")
+    # generators, so that the sorted tokens and the starts of their runs are made once for each row and not for each use
+    rows = df.select(*key, F.inline(F.array(F.struct(F.sort_array(tokens(text)).alias("__t"))))).where(F.size(t) > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+    rows = rows.select(*key, "__t", F.inline(F.array(F.struct(starts.alias("__s")))))
+
+    def run(at: Column, i: Column) -> Column:
+        tf = (F.coalesce(F.get(s, i + 1), F.size(t)) - at).cast("long")
+        return F.struct(F.size(t).alias("dl"), F.get(t, at).alias("term"), tf.alias("tf"), (i == 0).alias("first"))
+
+    return rows.select(*key, F.inline(F.transform(s, run)))
 
 
 def doc_stats(df: DataFrame, key: Key, text: Column) -> DataFrame:
