@@ -103,6 +103,29 @@ def test_a_table_has_its_index(spark, tmp_path):
     assert [r.id for r in index.search("red").collect()] == [1]
 
 
+def test_a_table_index_needs_no_python_workers(spark, tmp_path, monkeypatch):
+    """Neither its build nor what it takes in later."""
+    from tidemark.sources.texts import TableTextIndex
+
+    store = Store(spark, str(tmp_path / "s"))
+    t = TableDef("t", "id bigint, t string", ("id",))
+    texts = {i: "red " * (i % 4) + "blue" for i in range(12)} | {12: None, 13: ""}
+    rows = spark.createDataFrame(list(texts.items()), t.schema)
+    monkeypatch.setattr(spark.sparkContext, "pythonExec", "/no/python")
+    store.bulk_load(t, rows)
+    index = TableTextIndex(store, "t", F.col("t"), segments=1)
+    index.refresh()
+    with store.begin_write() as tx:
+        w = tx.open_table(t)
+        w.delete_batch(rows.where("id % 4 = 1").select("id"))
+        w.update_batch(rows.where("id % 4 = 0").withColumn("t", F.concat(F.lit("red red "), "t")))  # that of 12 stays null
+    index.refresh()
+    now = [(i, "red red " + x if x and i % 4 == 0 else x) for i, x in texts.items() if i % 4 != 1]
+    want = bm25(now, "red blue")
+    got = [(r.id, r.score) for r in index.search("red blue").collect()]
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
+
+
 @pytest.mark.parametrize("by", ["cosine", "l2", "dot", "cosine_normalized"])
 def test_neighbours_are_exact(spark, by):
     rng = np.random.default_rng(2)
